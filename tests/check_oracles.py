@@ -55,7 +55,7 @@ def main(argv):
     from sonde import build_session
 
     sf_dir = f"/root/testdata/sf{argv[0] if argv else '0.01'}"
-    spark = build_session("oracles", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+    spark = build_session("oracles", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
                           spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     db, queries, oracles, bad = duck(sf_dir), E.queries(), E.oracle_sql(), 0
