@@ -97,3 +97,38 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], descend
     pick = F.max_by if descending else F.min_by
     best = pick(F.struct(*rest), F.struct(*order)).alias("__row")
     return df.groupBy(*keys).agg(best).select(*keys, "__row.*").select(*df.columns)
+
+
+def exact_percentiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    percents: Mapping[str, float],
+    block: Column,
+) -> DataFrame:
+    """Exact percentiles per key, linear between the neighbours of position (N-1)*p.
+
+    The built-in exact `percentile` keeps all values of a group in one buffer.  Here equal values
+    are counted first, positions are running counts over value blocks, and only the rows that
+    hold a wanted position are looked at again.  `block` must not decrease with `value`.
+    """
+    for p in percents.values():
+        if not 0 <= p <= 100:
+            raise ValueError("percentile outside 0..100")
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__count"))
+    running = carry(counted, keys, [value], block, sums={"__upto": F.col("__count")})
+    sizes = counted.groupBy(*keys).agg(F.sum("__count").alias("__size"))
+    placed = running.join(sizes, list(keys))
+    at = lambda i: (F.col("__upto") - F.col("__count") <= i) & (i < F.col("__upto"))
+    position = {n: (F.col("__size") - 1) * F.lit(p) / 100 for n, p in percents.items()}
+    low = {n: F.floor(c) for n, c in position.items()}
+    high = {n: F.least(low[n] + 1, F.col("__size") - 1) for n in percents}
+    wanted = F.lit(False)
+    for n in percents:
+        wanted = wanted | at(low[n]) | at(high[n])
+    picked = placed.filter(wanted).groupBy(*keys, "__size").agg(
+        *(F.max(F.when(at(low[n]), F.col(value))).alias(f"__lo_{n}") for n in percents),
+        *(F.max(F.when(at(high[n]), F.col(value))).alias(f"__hi_{n}") for n in percents))
+    return picked.select(*keys, *(
+        (F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * (position[n] - low[n])).alias(n)
+        for n in percents))

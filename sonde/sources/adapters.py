@@ -7,7 +7,7 @@ that give a scan its measurement count and a measurement its scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GENERATIONS = 7          # order years 1995..2001
@@ -157,6 +157,11 @@ def _event_run():
     return F.expr(f"event_id div {RUN_EVENTS} + 1")
 
 
+def _epoch_micros():
+    """Microseconds since 1970 of the zone-less event timestamp."""
+    return F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+
+
 def _k():
     return F.get_json_object("props", "$.k").cast("double")
 
@@ -168,7 +173,7 @@ def traces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """
     raw = table(spark, sf_dir, "events").select(
         F.expr("user_id div 16 + 1").alias("experiment_id"), (F.col("event_id") + 1).alias("sequence"),
-        (F.unix_micros("ts") * 1000).alias("ns"), "event_type",
+        (_epoch_micros() * 1000).alias("ns"), "event_type",
         (F.col("value") * 100).cast("bigint").alias("cents"))
     mark = ["experiment_id", "arrival", "phase", "sequence", "wall_ns"]
     repeat = F.when(F.col("event_type") == "error", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
@@ -254,10 +259,7 @@ def recording_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = raw.groupBy("run_id").agg(F.max("i").alias("last"))
     count = F.when(F.col("event_type") == "error", 0).otherwise(2).cast("bigint")
     scan_sequence = F.expr("i div 4 + 1")
-    # Detection ids must be dense per sensor, so each scan reserves none but uses its own count;
-    # the running total per (run, sensor) over at most 256 scans is a bounded window.
-    from pyspark.sql import Window
-
+    # Detection ids are dense per sensor: a running total over at most 256 scans per (run, sensor).
     per_sensor = Window.partitionBy("run_id", "sensor_id").orderBy("i")
     scan_rows = raw.select(
         "run_id", "i", (F.col("i") % 4 + 1).cast("int").alias("sensor_id"), scan_sequence.alias("scan_sequence"),
@@ -280,8 +282,8 @@ def recording_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(0.0).cast("float").alias("event_time_seconds")
     ends = last.select("run_id", F.explode(F.array(
         F.struct(F.lit(1).cast("bigint").alias("stream_sequence"), zero, F.lit("RUN_STARTED").alias("event_type")),
-        F.struct((F.col("last") + 7).alias("stream_sequence"), (F.col("last") / 8).cast("float"),
-                 F.lit("RUN_FINISHED")))).alias("e")).select("run_id", "e.*")
+        F.struct((F.col("last") + 7).alias("stream_sequence"), (F.col("last") / 8).cast("float").alias("event_time_seconds"),
+                 F.lit("RUN_FINISHED").alias("event_type")))).alias("e")).select("run_id", "e.*")
     starts = last.select("run_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("sensor_id")).select(
         "run_id", (F.col("sensor_id") + 1).cast("bigint").alias("stream_sequence"), zero,
         F.lit("SENSOR_STARTED").alias("event_type"), "sensor_id", F.lit(0).cast("bigint").alias("sensor_generation"),

@@ -69,7 +69,7 @@ def main(argv):
             else:
                 outcome = None if (n := query(spark, sf_dir).count()) else "no rows"
         except Exception as error:  # noqa: BLE001 - report and go on with the next query
-            outcome = f"{type(error).__name__}: {str(error)[:600]}"
+            outcome = f"{type(error).__name__}: {str(error)[:300]}"
         bad += outcome is not None
         print(f"{'ok  ' if outcome is None else 'FAIL'} {time.time() - begin:6.2f}s {name} "
               f"{'' if name in oracles else '(no oracle)'} {outcome or ''}", flush=True)
