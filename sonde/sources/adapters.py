@@ -294,13 +294,14 @@ def recording_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def experiments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(experiments, experiment_metrics): one run per customer, conditions from nation and segment.
+    """(experiments, experiment_metrics): one run per customer, conditions from the nation.
 
-    One experiment per segment; the noise level is the nation's region-like digit and the
-    scenario seed is the customer key, so a (condition, seed) pair never repeats.
+    An experiment is a market segment within 4,096 consecutive customers, so it stays within the
+    run limit of a sweep.  The seed is the customer key, so (condition, seed) never repeats.
     """
+    name = F.concat_ws("-", "c_mktsegment", F.expr("c_custkey div 4096").cast("string"))
     who = table(spark, sf_dir, "customer").select(
-        F.col("c_mktsegment").alias("experiment_id"), F.concat(F.lit("study "), "c_mktsegment").alias("experiment_name"),
+        name.alias("experiment_id"), F.concat(F.lit("study "), name).alias("experiment_name"),
         (F.col("c_custkey") + 1).alias("run_id"), F.col("c_custkey").alias("seed"),
         (F.col("c_nationkey") % 3).cast("double").alias("noise"),
         (F.lit(0.5) + (F.col("c_nationkey") % 2) / 4).alias("reliability"))
