@@ -7,7 +7,7 @@ that give a scan its measurement count and a measurement its scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GENERATIONS = 7          # order years 1995..2001
@@ -221,9 +221,18 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("x"), _k().alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"),
         F.col("acquisition_time").alias("last_seen"), F.lit(1).cast("bigint").alias("observations"),
         F.lit(1).cast("bigint").alias("distinct_times"), F.array(F.lit(1)).alias("sensors"))
+    association = F.struct(
+        F.lit(1).alias("sensor_id"), F.lit(0).cast("bigint").alias("sensor_generation"),
+        F.col("source_sequence").alias("scan_sequence"), (F.col("event_id") % 32).cast("int").alias("detection_id"),
+        (F.col("event_id") % 48 + 1).alias("track_id"))
+    retired = F.struct((F.col("event_id") % 48 + 1).alias("track_id"), F.lit("timeout").alias("reason"))
+    kind = F.col("event_type")
+    gather = lambda cond, value: F.array_sort(F.collect_list(F.when(cond, value)))
     return _framed(spark, sf_dir).groupBy(*_FRAME_KEY, "acquisition_time").agg(
-        F.array_sort(F.collect_list(F.when(F.col("event_type").isin("view", "click", "error"), track)))
-        .alias("tracks"))
+        gather(kind.isin("view", "click", "error"), track).alias("tracks"),
+        gather(kind == "view", association).alias("associations"), gather(kind == "purchase", retired).alias("retired"),
+    ).withColumn("source_type", F.lit("MEASUREMENTS")).withColumn("schema_version", F.lit(1)).withColumn(
+        "event_type", F.lit("GLOBAL_TRACKS"))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,51 +255,72 @@ def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(10) + inside % FRAME_EVENTS).alias("target"), "event_id", "event_type", "value", "props")
 
 
-def recording_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A valid recording per 1,024 consecutive events: typed, dense and ordered.
+RECORDING_EVENTS = 200   # consecutive event ids per recording
 
-    Sequence 1 starts the run, 2..5 start four sensors, every source event is one scan with up
-    to two detections, and one more event finishes the run.  Everything is row-local: event ids
-    are dense, so sequences need no window.
+
+def recording_events(raw: DataFrame) -> DataFrame:
+    """Valid recordings from the (batch or streaming) event table, row-locally.
+
+    200 consecutive event ids make one recording with dense sequences: sequence 1 starts the
+    run, 2 to 5 start four sensors, every source event is one scan, and one event ends the run.
+    Sensors 1 to 3 see two targets per scan, sensor 4 none.  Every 50 scans the time jumps by
+    3 seconds.
     """
-    inside = F.col("event_id") % RUN_EVENTS
-    raw = table(spark, sf_dir, "events").select(
-        _event_run().alias("run_id"), inside.alias("i"), "event_type", "value", _k().alias("k"))
-    last = raw.groupBy("run_id").agg(F.max("i").alias("last"))
-    count = F.when(F.col("event_type") == "error", 0).otherwise(2).cast("bigint")
-    scan_sequence = F.expr("i div 4 + 1")
-    # Detection ids are dense per sensor: a running total over at most 256 scans per (run, sensor).
-    per_sensor = Window.partitionBy("run_id", "sensor_id").orderBy("i")
-    scan_rows = raw.select(
-        "run_id", "i", (F.col("i") % 4 + 1).cast("int").alias("sensor_id"), scan_sequence.alias("scan_sequence"),
-        count.alias("measurement_count"), "value", "k").withColumn(
-        "before", F.sum("measurement_count").over(per_sensor) - F.col("measurement_count"))
-
-    def detection(offset: int, shift: float):
+    i = F.col("i")
+    base = raw.select(
+        F.expr(f"event_id div {RECORDING_EVENTS} + 1").alias("run_id"), (F.col("event_id") % RECORDING_EVENTS).alias("i"),
+        "value", _k().alias("k"), F.col("ts").alias("ts"))
+    sensor = (i % 4 + 1).cast("int")
+    scan = F.expr("i div 4")
+    time = (i / 8 + F.expr("i div 50") * 3).cast("float")
+    empty = F.from_json(F.lit("[]"), _DETECTIONS)
+
+    def event(kind, sequence, at, sensor_id=None, seed=None, scan_sequence=None, count=None, measurements=None):
+        none = F.lit(None)
         return F.struct(
-            (F.col("before") + offset).cast("int").alias("detection_id"),
-            (F.col("value") + shift).cast("float").alias("x"), (F.col("k") + shift).cast("float").alias("y"),
-            F.lit(0.8).cast("float").alias("confidence"), F.lit(2.0).cast("float").alias("uncertainty_radius"))
-
-    empty = F.array().cast("array<struct<detection_id:int,x:float,y:float,confidence:float,uncertainty_radius:float>>")
-    scan_events = scan_rows.select(
-        "run_id", (F.col("i") + 6).alias("stream_sequence"), (F.col("i") / 8).cast("float").alias("event_time_seconds"),
-        F.lit("MEASUREMENTS").alias("event_type"), "sensor_id", F.lit(0).cast("bigint").alias("sensor_generation"),
-        "scan_sequence", "measurement_count",
-        F.when(F.col("measurement_count") == 0, empty).otherwise(
-            F.array(detection(1, 0.0), detection(2, 120.0))).alias("measurements"))
-    zero = F.lit(0.0).cast("float").alias("event_time_seconds")
-    ends = last.select("run_id", F.explode(F.array(
-        F.struct(F.lit(1).cast("bigint").alias("stream_sequence"), zero, F.lit("RUN_STARTED").alias("event_type")),
-        F.struct((F.col("last") + 7).alias("stream_sequence"), (F.col("last") / 8).cast("float").alias("event_time_seconds"),
-                 F.lit("RUN_FINISHED").alias("event_type")))).alias("e")).select("run_id", "e.*")
-    starts = last.select("run_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("sensor_id")).select(
-        "run_id", (F.col("sensor_id") + 1).cast("bigint").alias("stream_sequence"), zero,
-        F.lit("SENSOR_STARTED").alias("event_type"), "sensor_id", F.lit(0).cast("bigint").alias("sensor_generation"),
-        (F.col("sensor_id") * 7).cast("bigint").alias("seed"))
-    everything = scan_events.unionByName(starts, allowMissingColumns=True).unionByName(
-        ends, allowMissingColumns=True)
-    return everything.withColumn("run_generation", F.lit(0).cast("bigint"))
+            F.lit(kind).alias("event_type"), sequence.cast("bigint").alias("stream_sequence"),
+            at.cast("float").alias("event_time_seconds"),
+            (none if sensor_id is None else sensor_id).cast("int").alias("sensor_id"),
+            (none if sensor_id is None else F.lit(0)).cast("bigint").alias("sensor_generation"),
+            (none if scan_sequence is None else scan_sequence).cast("bigint").alias("scan_sequence"),
+            (none if count is None else count).cast("bigint").alias("measurement_count"),
+            (none if seed is None else seed).cast("bigint").alias("seed"),
+            (none if measurements is None else measurements).cast(_DETECTIONS).alias("measurements"))
+
+    def detection(offset, shift):
+        return F.struct(
+            (scan * 2 + offset).cast("int").alias("detection_id"), (F.col("value") + shift).cast("float").alias("x"),
+            (F.col("k") + shift).cast("float").alias("y"), F.lit(0.8).cast("float").alias("confidence"),
+            F.lit(2.0).cast("float").alias("uncertainty_radius"))
+
+    sees = sensor != 4
+    scanned = event("MEASUREMENTS", i + 6, time, sensor, None, scan + 1, F.when(sees, 2).otherwise(0),
+                    F.when(sees, F.array(detection(1, 0.0), detection(2, 120.0))).otherwise(empty))
+    opening = F.array(event("RUN_STARTED", F.lit(1), F.lit(0)), *(
+        event("SENSOR_STARTED", F.lit(n + 1), F.lit(0), F.lit(n), F.lit(7 * n)) for n in range(1, 5)), scanned)
+    closing = F.array(scanned, event("RUN_FINISHED", i + 7, time))
+    rows = F.when(i == 0, opening).when(i == RECORDING_EVENTS - 1, closing).otherwise(F.array(scanned))
+    return base.select("run_id", F.lit(0).cast("bigint").alias("run_generation"), "ts", F.inline(rows))
+
+
+_DETECTIONS = "array<struct<detection_id:int,x:float,y:float,confidence:float,uncertainty_radius:float>>"
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recording_events(table(spark, sf_dir, "events")).drop("ts")
+
+
+def recording_text(events: DataFrame) -> DataFrame:
+    """(source, line_no, line): the recordings as numbered text, header included."""
+    from sonde.operators.decode import recording_lines
+    from sonde.schemas import RECORDING_HEADER
+
+    body = recording_lines(events).select(
+        F.col("run_id").cast("string").alias("source"), (F.col("stream_sequence") + 1).alias("line_no"), "line")
+    heads = events.filter(F.col("event_type") == "RUN_STARTED").select(
+        F.col("run_id").cast("string").alias("source"), F.lit(1).cast("bigint").alias("line_no"),
+        F.lit(RECORDING_HEADER).alias("line"))
+    return body.unionByName(heads)
 
 
 def experiments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -49,9 +49,9 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
         "source", F.col("line_no").alias("arrival"))
 
 
-def read_experiment_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """All `*/summary.json` documents below a folder; optional timings keep their type when null."""
-    return spark.read.schema(schemas.EXPERIMENT_SUMMARY).option("multiLine", True).json(f"{path}/*/summary.json")
+def read_experiment_summaries(spark: SparkSession, path: str, pattern: str = "*/summary.json") -> DataFrame:
+    """All summary documents below a folder; optional timings keep their type when null."""
+    return spark.read.schema(schemas.EXPERIMENT_SUMMARY).option("multiLine", True).json(f"{path}/{pattern}")
 
 
 def read_layout(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
