@@ -26,26 +26,31 @@ def token(array: Column, index: int | Column) -> Column:
     return F.get(array, index if isinstance(index, Column) else F.lit(index))
 
 
-def _digits(text: Column) -> Column:
-    return F.regexp_replace(text, r"^(-?)0+(?=[0-9])", "$1")
-
-
 def integer(text: Column, kind: str = "bigint", signed: bool = False, top: str | None = None) -> Column:
     """The token as `kind`; null when it is no integer or is out of range."""
-    value = _digits(text).try_cast("decimal(38,0)")
-    inside = text.rlike(SIGNED if signed else UNSIGNED)
-    if top is not None:
-        inside = inside & (value <= F.lit(top).cast("decimal(38,0)"))
-    return F.when(inside, value.try_cast(kind))
-
-
-def single(text: Column) -> Column:
-    """The token rounded to a 32-bit float; null on bad text, overflow, or underflow to zero."""
-    value = text.try_cast("double").cast("float")
-    lost = (value == 0) & text.rlike(NONZERO_MANTISSA)
-    finite = F.abs(value) < F.lit(float("inf")).cast("float")
-    zero = F.lit(0.0).cast("float")  # -0 and 0 are one value
-    return F.when(text.rlike(FLOAT) & finite & ~lost, F.when(value == 0, zero).otherwise(value))
+    value = F.when(text.rlike(SIGNED if signed else UNSIGNED), text.try_cast(kind))
+    return value if top is None else F.when(value <= F.lit(top).cast("decimal(38,0)"), value)
+
+
+def single(value: Column) -> Column:
+    """A double as 32-bit float; -0 and 0 are one value."""
+    return value.cast("float") + F.lit(0.0).cast("float")
+
+
+def single_fits(text: Column, value: Column) -> Column:
+    """Whether a token's double neither overflows a 32-bit float nor underflows to zero."""
+    narrow = value.cast("float")
+    lost = (narrow == 0) & text.rlike(NONZERO_MANTISSA)
+    return (F.abs(narrow) < F.lit(float("inf")).cast("float")) & ~lost
+
+
+def plain_numbers(line: Column) -> Column:
+    """Whether all tokens after the first use only characters of the number grammar.
+
+    On such a line a cast to double accepts exactly the float grammar, so long lists of numbers
+    need one pattern per line instead of one per number.
+    """
+    return line.rlike(r"^\s*\S+[-+0-9.eE\s]*$") & ~line.rlike(r"\s\+")
 
 
 def finite(value: Column) -> Column:

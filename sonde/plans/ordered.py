@@ -88,6 +88,16 @@ def carry(
     )
 
 
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    A filter on a projected column is pushed below the projection together with a copy of its
+    expression; for parsed text, with columns built on columns, the copies multiply.  A one-row
+    generator is a boundary that neither filters nor projections cross.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], descending: bool = False) -> DataFrame:
     """One row per key, the first (or last) along `order`, by partial aggregation, not a window.
 
