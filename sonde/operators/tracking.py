@@ -74,7 +74,9 @@ def _fold(events: DataFrame, settings: FusionSettings, keys: tuple[str, ...]) ->
             tail = {**{k: last[k] for k in _SEGMENT}, "created": book.created, "left": list(book.live)}
             yield pa.RecordBatch.from_pylist([tail], schema=arrow)
 
-    ordered = events.select(*_INPUT).repartition(*keys).sortWithinPartitions(*keys, "stream_sequence")
+    # A fixed number of tasks: merging them by size would leave a costly fold on few cores.
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = events.select(*_INPUT).repartition(tasks, *keys).sortWithinPartitions(*keys, "stream_sequence")
     return ordered.groupBy(*keys).applyInArrow(fold, schema)
 
 

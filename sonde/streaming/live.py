@@ -20,7 +20,9 @@ from sonde import schemas
 from sonde.functions.lifecycle import LifecycleState
 from sonde.functions.trackbook import FusionSettings, Track, TrackBook, frame_of
 from sonde.operators.decode import _typed, decode_messages
+from sonde.session import SETTINGS
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 EVENT_DDL = (
     "event_type string, run_id decimal(20,0), run_generation long, stream_sequence long, event_time_seconds double,"
     "sensor_id int, sensor_generation long, scan_sequence long, measurement_count long, seed long,"
@@ -152,6 +154,8 @@ def _book(settings: FusionSettings, packed) -> TrackBook:
 def _per_run(events: DataFrame, policy: str, settings: FusionSettings | None) -> DataFrame:
     if policy not in ("strict", "reorder"):
         raise ValueError("policy must be strict or reorder")
+    # The operator needs this state store; a session may have been built elsewhere.
+    events.sparkSession.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
     return _encoded(events).groupBy("run_id").transformWithStateInPandas(
         RunProcessor(policy, settings), "run_id decimal(20,0), stream_sequence long, rule string, body string",
         "Append", "None")
