@@ -38,13 +38,12 @@ def source_counts(unique: DataFrame, keys: tuple[str, ...] = ("source",)) -> Dat
         F.coalesce(F.sum(F.when(scan, F.col("measurement_count"))), F.lit(0)).alias("measurements"))
 
 
-def examine(decoded: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(unique events, verdicts): one verdict row per source.
+def examine(decoded: DataFrame, unique: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One verdict row per source, from its decoded lines and its deduplicated events.
 
     A verdict has run_id, digest, counts, duplicates_removed, and `error`: the first violation
     by line, or null for a source that passed everything.
     """
-    unique = rules.dedup_events(decode.accepted(decoded))
     problems = rules.union_all([
         rules.grammar_violations(decoded), rules.lifecycle_violations(unique, block_rows),
         rules.conflicting_duplicates(unique)])
@@ -58,7 +57,7 @@ def examine(decoded: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame
     verdicts = sources.join(facts, "source", "left").join(counts, "source", "left").join(
         normalized_digest(unique), "source", "left").join(errors, "source", "left")
     nothing = F.when(F.col("run_id").isNull() & F.col("error").isNull(), "empty recording")
-    return unique, verdicts.withColumnRenamed("digest", "normalized_sha256").withColumn(
+    return verdicts.withColumnRenamed("digest", "normalized_sha256").withColumn(
         "error", F.coalesce("error", nothing))
 
 
@@ -180,9 +179,10 @@ def ingest(spark: SparkSession, path: str, root: str, pattern: str = "*.events",
     fresh = found.join(settled.select("recording_sha256"), "recording_sha256", "left_anti")
     lines = recordings.read_recordings(spark, path, pattern).withColumn(
         "source", plain_path(F.col("source"))).join(fresh.select(plain_path(F.col("source")).alias("source")), "source", "left_semi")
-    decoded = decode.decode_events(lines)
-    unique, verdicts = examine(decoded, block_rows)
-    unique, verdicts = _frozen(spark, unique, "unique"), _frozen(spark, verdicts, "verdicts")
+    # Text is parsed once and deduplicated once; the checks read the columns they need.
+    decoded = _frozen(spark, decode.decode_events(lines), "decoded")
+    unique = _frozen(spark, rules.dedup_events(decode.accepted(decoded)), "unique")
+    verdicts = _frozen(spark, examine(decoded, unique, block_rows), "verdicts")
     found = found.withColumn("source", plain_path(F.col("source")))
     known_verdicts = found.join(settled.filter(F.col("status") == "passed").select(
         "recording_sha256", "run_id", "normalized_sha256", "duplicates_removed", F.col("source_events").alias("events"),

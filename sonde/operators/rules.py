@@ -29,19 +29,23 @@ def dedup_events(events: DataFrame) -> DataFrame:
     """First occurrence of each (source, run_id, stream_sequence), with how often it came.
 
     `copies` counts all occurrences, `conflicts` those whose typed payload differs from the
-    first one's.  Only partial aggregation: many copies of one event never meet in one task.
+    first one's.  Repeated identities are found on narrow rows, by partial counts, so many copies
+    of one event never meet in one task.  The list of repeated identities is short in any sane
+    input; joining it then costs no shuffle of the events, and a long one is joined by shuffle.
     """
     from sonde.functions.identity import canonical_event, sha256
 
     key = ["source", "run_id", "stream_sequence"]
     hashed = events.withColumn("payload_sha256", sha256(canonical_event()))
-    rest = [c for c in hashed.columns if c not in (*key, "payload_sha256")]
-    per_payload = hashed.groupBy(*key, "payload_sha256").agg(
-        F.min_by(F.struct(*rest), "line_no").alias("row"), F.count(F.lit(1)).alias("n"))
-    return per_payload.groupBy(*key).agg(
-        F.min_by(F.struct("row", "payload_sha256", "n"), F.col("row.line_no")).alias("first"), F.sum("n").alias("copies"),
-    ).select(*key, "first.row.*", "first.payload_sha256", "copies",
-             (F.col("copies") - F.col("first.n")).alias("conflicts"))
+    repeated = hashed.groupBy(*key, "payload_sha256").agg(
+        F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n"),
+    ).groupBy(*key).agg(
+        F.min("first_line").alias("first_line"), F.sum("n").alias("copies"), F.min_by("n", "first_line").alias("first_n"),
+    ).filter(F.col("copies") > 1)
+    first = F.col("first_line").isNull() | (F.col("line_no") == F.col("first_line"))
+    return hashed.join(repeated, key, "left").filter(first).select(
+        *hashed.columns, F.coalesce("copies", F.lit(1)).alias("copies"),
+        F.coalesce(F.col("copies") - F.col("first_n"), F.lit(0)).alias("conflicts"))
 
 
 def conflicting_duplicates(unique: DataFrame) -> DataFrame:

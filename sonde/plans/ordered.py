@@ -62,12 +62,12 @@ def carry(
         *(F.lag(f"__l_{n}").over(inside).alias(f"__l_{n}") for n in lags),
         F.lag(F.lit(True)).over(inside).isNull().alias("__first"),
     )
-    last = F.struct(*(F.col(f"__l_{n}") for n in lags)) if lags else F.lit(None)
-    position = F.struct(*(F.col(c) for c in order))
+    # One order column keeps the aggregation buffers fixed-width, hence hashed and not sorted.
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     summary = base.groupBy(*keys, "__block").agg(
         *(F.sum(f"__s_{n}").alias(f"__ps_{n}") for n in sums),
         *(F.max(f"__m_{n}").alias(f"__pm_{n}") for n in prior_max),
-        *([F.max_by(last, position).alias("__last")] if lags else []),
+        *(F.max_by(f"__l_{n}", position).alias(f"__pl_{n}") for n in lags),
         F.count(F.lit(1)).alias("__rows"),
     )
     across = Window.partitionBy(*keys).orderBy("__block")
@@ -76,14 +76,14 @@ def carry(
         *keys, "__block",
         *(F.sum(f"__ps_{n}").over(earlier).alias(f"__ps_{n}") for n in sums),
         *(F.max(f"__pm_{n}").over(earlier).alias(f"__pm_{n}") for n in prior_max),
-        *([F.lag("__last").over(across).alias("__last")] if lags else []),
+        *(F.lag(f"__pl_{n}").over(across).alias(f"__pl_{n}") for n in lags),
     )
     joined = local.join(carried, [*keys, "__block"], "left")
     return joined.select(
         *df.columns,
         *((F.col(f"__s_{n}") + F.coalesce(F.col(f"__ps_{n}"), F.lit(0))).alias(n) for n in sums),
         *(F.greatest(F.col(f"__m_{n}"), F.col(f"__pm_{n}")).alias(n) for n in prior_max),
-        *(F.when(F.col("__first"), F.col(f"__last.__l_{n}")).otherwise(F.col(f"__l_{n}")).alias(n)
+        *(F.when(F.col("__first"), F.col(f"__pl_{n}")).otherwise(F.col(f"__l_{n}")).alias(n)
           for n in lags),
     )
 
@@ -105,6 +105,8 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], descend
     """
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if descending else F.min_by
+    if len(order) == 1:  # one value per buffer: hashed, not sorted, for fixed-width columns
+        return df.groupBy(*keys).agg(*(pick(c, order[0]).alias(c) for c in rest)).select(*df.columns)
     best = pick(F.struct(*rest), F.struct(*order)).alias("__row")
     return df.groupBy(*keys).agg(best).select(*keys, "__row.*").select(*df.columns)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -55,8 +56,15 @@ def main(argv):
     from sonde import build_session
 
     sf_dir = f"/root/testdata/sf{argv[0] if argv else '0.01'}"
-    spark = build_session("oracles", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
-                          spark__driver__memory="8g")
+    if os.environ.get("PLAIN_SESSION"):  # no library settings at all
+        from pyspark.sql import SparkSession
+
+        SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config(
+            "spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").getOrCreate()
+        spark = SparkSession.active()
+    else:
+        spark = build_session("oracles", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+                              spark__ui__showConsoleProgress="false", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     db, queries, oracles, bad = duck(sf_dir), E.queries(), E.oracle_sql(), 0
     for name, query in queries.items():

@@ -98,7 +98,8 @@ def test_defect_corpus_and_truncations(spark):
 def test_duplicates_are_removed_and_digest_is_spelling_free(spark):
     lines = golden().splitlines()
     repeated = "\n".join(lines[:5] + [lines[4].replace("0.123456789 -12345", "0.1234567890 -12345")] + lines[5:] + [lines[-1]]) + "\n"
-    unique, verdicts = ingest.examine(decode.decode_events(lines_of(spark, golden(), repeated, golden().replace("105 0", "106 0"))), 4)
+    decoded = decode.decode_events(lines_of(spark, golden(), repeated, golden().replace("105 0", "106 0"))).cache()
+    verdicts = ingest.examine(decoded, rules.dedup_events(decode.accepted(decoded)).cache(), 4)
     a, b, c = verdicts.orderBy("source").collect()
     assert (a["error"], b["error"], b["duplicates_removed"], b["events"]) == (None, None, 2, 14)
     assert a["normalized_sha256"] == b["normalized_sha256"] != c["normalized_sha256"]
