@@ -118,6 +118,22 @@ def verify_partitions(manifest: DataFrame, stored: dict[str, DataFrame]) -> Data
         rules.reconcile_scan_measurements(stored["scans"], stored["measurements"])])
 
 
+def stored_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sha256, bytes) of the Parquet files below `path`; files are hashed in parallel."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option(
+        "recursiveFileLookup", "true").load(path)
+    return files.select(
+        F.regexp_extract("path", "/clean/(.*)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"),
+        F.col("length").alias("bytes"))
+
+
+def verify_files(recorded: DataFrame, found: DataFrame) -> DataFrame:
+    """(file, problem) of recorded files that are gone or no longer have their recorded bytes."""
+    now = found.select("file", F.col("sha256").alias("now"))
+    return recorded.join(now, "file", "left").filter(~F.col("sha256").eqNullSafe(F.col("now"))).select(
+        "file", F.when(F.col("now").isNull(), "missing").otherwise("changed").alias("problem"))
+
+
 def materialize_runs(spark: SparkSession, root: str, unique: DataFrame, chosen: DataFrame,
                      batch: str | None = None) -> DataFrame:
     """Write the chosen sources' runs, reconcile the stored files, append manifest rows.
@@ -139,6 +155,9 @@ def materialize_runs(spark: SparkSession, root: str, unique: DataFrame, chosen:
     bad.write.parquet(path)
     bad = spark.read.schema(bad.schema).parquet(path)
     good = chosen.join(bad.select("run_id"), "run_id", "left_anti")
+    if tables.path_exists(spark, f"{root}/clean/events") and not chosen.isEmpty():
+        stored_files(spark, f"{root}/clean/*/*/batch={batch}").withColumn("batch", F.lit(batch)).write.mode(
+            "append").parquet(f"{root}/files")
     good.select(
         "run_id", F.lit(schemas.SCHEMA_VERSION).alias("schema_version"), F.lit(1).alias("recording_version"), "source",
         "normalized_sha256", "events", "scans", "measurements", "duplicates_removed", F.lit(batch).alias("batch"),

@@ -139,6 +139,7 @@ QUALITY = _fields(
     "recording_sha256 string, source string, run_id id, normalized_sha256 string, status string, stage string,"
     "checks_passed string, source_events long, source_scans long, source_measurements long, clean_events long,"
     "clean_scans long, clean_measurements long, duplicates_removed long, error string")
+FILES = _fields("file string, sha256 string, bytes long, batch string")
 ANALYSIS_MANIFEST = _fields(
     "run_id id, schema_version int, source_sha256 string, inputs_sha256 string, batch string")
 VIOLATIONS = _fields("source string, run_id id, stream_sequence long, rule string, detail string")

@@ -107,11 +107,12 @@ def published(spark: SparkSession, root: str, manifest: str = "manifest",
     return read_table(spark, root, manifest, schema)
 
 
-def open_dataset(spark: SparkSession, root: str, verify: bool = True) -> dict[str, DataFrame]:
+def open_dataset(spark: SparkSession, root: str, verify: bool | str = True) -> dict[str, DataFrame]:
     """Views `events`, `scans` and `measurements` over the published runs only.
 
     Rows whose (run, batch) has no manifest row, left by a job that died, are not visible.
-    With `verify`, stored row counts are first checked against the manifest.
+    With `verify`, stored row counts are first checked against the manifest; with
+    `verify="files"`, the bytes of every published file against their recorded SHA-256 as well.
     """
     manifest = published(spark, root)
     if manifest.isEmpty():
@@ -120,8 +121,14 @@ def open_dataset(spark: SparkSession, root: str, verify: bool = True) -> dict[st
         raise ValueError("unsupported dataset schema")
     tables = {name: _visible(spark, root, name, schema, manifest) for name, schema in schemas.CLEAN_TABLES.items()}
     if verify:
-        from sonde.operators.ingest import verify_partitions
-
+        from sonde.operators.ingest import stored_files, verify_files, verify_partitions
+
+        if verify == "files":
+            recorded = read_table(spark, root, "files", schemas.FILES).join(
+                manifest.select("batch").distinct(), "batch", "left_semi")
+            lost = verify_files(recorded, stored_files(spark, f"{root}/clean")).limit(1).collect()
+            if lost:
+                raise ValueError(f"dataset file integrity check failed: {lost[0]['file']} {lost[0]['problem']}")
         bad = verify_partitions(manifest, tables).limit(1).collect()
         if bad:
             raise ValueError(f"dataset integrity check failed: run {bad[0]['run_id']}: {bad[0]['detail']}")

@@ -162,6 +162,19 @@ def test_interrupted_write_is_recovered_and_damage_is_seen(spark, tmp_path, monk
     assert result.totals["new_runs"] == 1 and result.classified.first()["status"] == "recovered"
     assert tables.open_dataset(spark, root)["events"].count() == 5
     batch = spark.read.parquet(f"{root}/manifest").first()["batch"]
+    assert tables.open_dataset(spark, root, verify="files")["events"].count() == 5
+    target = glob.glob(f"{root}/clean/scans/run_id=1/batch={batch}/*.parquet")[0]
+    bytes_ = open(target, "rb").read()
+    # Same rows, other bytes: only the file check can tell.
+    spark.read.parquet(target).coalesce(1).write.option("compression", "gzip").parquet(str(tmp_path / "other"))
+    crc = os.path.join(os.path.dirname(target), "." + os.path.basename(target) + ".crc")
+    os.replace(crc, str(tmp_path / "old.crc"))
+    with open(target, "wb") as f:
+        f.write(open(glob.glob(str(tmp_path / "other" / "*.parquet"))[0], "rb").read())
+    with pytest.raises(ValueError, match="file integrity check failed.*changed"):
+        tables.open_dataset(spark, root, verify="files")
+    with open(target, "wb") as f:
+        f.write(bytes_)
     lost = glob.glob(f"{root}/clean/measurements/run_id=1/batch={batch}/*.parquet")
     for f in lost:
         os.replace(f, str(tmp_path / os.path.basename(f)))
