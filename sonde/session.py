@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -28,7 +30,25 @@ def build_session(app: str = "sonde", master: str | None = None, **conf: str) ->
         builder = builder.master(master)
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Sends this package's modules to the Python workers, once for each context.
+
+    Functions that run on executors are pickled by reference, so workers must be able to import them
+    wherever the driver was started.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_sonde_shipped", False):
+        home = Path(__file__).resolve().parent
+        archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{home.name}.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for file in sorted(home.rglob("*.py")):
+                out.write(file, str(file.relative_to(home.parent)))
+        context.addPyFile(archive)
+        context._sonde_shipped = True
+    return spark
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
@@ -41,6 +61,8 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         "spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext.getCheckpointDir()
+        if not known and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = known or tempfile.mkdtemp(prefix="spark-")
         if not known:
             spark.sparkContext.setCheckpointDir(root)
