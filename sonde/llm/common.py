@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonde.session import scratch_dir
+from sonde.session import scratch_dir, ship_package
 
 # Rows of a narrow (id, small blob) table that may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -16,7 +16,7 @@ def tune(spark: SparkSession) -> SparkSession:
     """Arrow batches small enough that a worker holds a few MB of text at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    return spark
+    return ship_package(spark)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

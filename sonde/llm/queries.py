@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonde.llm import op1, op3, op5, op8, op10
+from sonde.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
 from sonde.llm.common import tune
+from sonde.session import scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,18 +27,45 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.identify(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
 
 
+def op4_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    forest = op6.fit(docs, labels.where(remainder(5) != 0))
+    return op6.classify(docs, forest).select("doc_id", (remainder(5) == 0).alias("held_out"), "score",
+                                             (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.join(table(spark, sf_dir, "documents"))
 
 
+def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_dir(spark, "token-blocks")
+    op9.write_blocks(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return op9.read_blocks(spark.read.parquet(path))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.shard(table(spark, sf_dir, "documents"))
 
@@ -73,6 +101,7 @@ def _mixing_sql() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_language": op1_language, "op3_decontamination": op3_decontamination, "op5_mixing": op5_mixing,
-    "op8_jaccard_join": op8_jaccard_join, "op10_sharding": op10_sharding, "pipeline": pipeline}
+    "op1_language": op1_language, "op2_suffix_array": op2_suffix_array, "op3_decontamination": op3_decontamination,
+    "op4_embedding_join": op4_embedding_join, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_secrets": op7_secrets,
+    "op8_jaccard_join": op8_jaccard_join, "op9_token_blocks": op9_token_blocks, "op10_sharding": op10_sharding, "pipeline": pipeline}
 ORACLES: dict[str, str] = {"op5_mixing": _mixing_sql()}
