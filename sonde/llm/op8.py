@@ -17,7 +17,7 @@ SHINGLE = 5
 PERCENT = 75            # two sets link when 100 * intersection >= PERCENT * union
 FLUSH = 1_000_000       # signatures a task gathers before it sends them on
 BUCKET = 1_000_000      # signatures of one shuffled bucket, about
-PAIRS = 1 << 20         # sketch comparisons made at once
+SMALL = 12              # sets of one signature that are paired at once; more are linked as a star first
 
 _tops: list[int] = []
 
@@ -124,35 +124,54 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, key bigint")
 
 
-def _send(sign: np.ndarray, key: np.ndarray, buckets: int, stars: bool) -> Iterator[pa.RecordBatch]:
-    """Signatures by bucket, as blobs; with `stars`, one key of each signature and links of the others to it."""
+def _heads(sign: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, key), sorted and once each; the group number of each row; the size of its group."""
     order = np.lexsort((key, sign))
     sign, key = sign[order], key[order]
     new = np.ones(len(sign), bool)
     new[1:] = (sign[1:] != sign[:-1]) | (key[1:] != key[:-1])
     sign, key = sign[new], key[new]
-    a = b = np.empty(0, np.int64)
-    if stars and len(sign):
-        head = np.ones(len(sign), bool)
-        head[1:] = sign[1:] != sign[:-1]
-        lead = key[head][np.cumsum(head) - 1]
-        linked = np.unique(np.column_stack([lead[~head], key[~head]]), axis=0)
-        a, b = linked[:, 0].copy(), linked[:, 1].copy()
-        sign, key = sign[head], key[head]
-    bucket = (sign >> np.uint64(33)) % np.uint64(buckets)
+    head = np.ones(len(sign), bool)
+    head[1:] = sign[1:] != sign[:-1]
+    group = np.cumsum(head) - 1
+    return sign, key, group, np.bincount(group)[group] if len(group) else group
+
+
+def _stars(key: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Links of the members of each group to its smallest key."""
+    head = np.ones(len(key), bool)
+    head[1:] = group[1:] != group[:-1]
+    lead = key[head][np.cumsum(head) - 1] if len(key) else key
+    return np.unique(np.column_stack([lead[~head], key[~head]]), axis=0)
+
+
+_SENT = ("bucket", "sign", "key", "large", "a", "b", "rows", "keys")
+
+
+def _send(sign: np.ndarray, key: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Signatures by bucket, as blobs.  One that over SMALL sets share here sends a single set, marked; its star and its rows are final."""
+    sign, key, group, size = _heads(sign, key)
+    many = size > SMALL
+    head = np.ones(len(sign), bool)
+    head[1:] = group[1:] != group[:-1]
+    star = _stars(key[many], group[many])
+    rows, keys = sign[many], key[many]
+    go = ~many | head
+    sign, key, large = sign[go], key[go], many[go]
+    bucket = ((sign >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    bucket, sign, key = bucket[order].astype(np.int64), sign[order], key[order]
+    bucket, sign, key, large = bucket[order], sign[order], key[order], large[order]
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-    to = np.append(cut[1:], len(bucket))
-    names = bucket[cut].tolist() if len(bucket) else []
-    blobs = [(n, sign[i:j].tobytes(), key[i:j].tobytes(), b"", b"") for n, i, j in zip(names, cut, to)]
-    if len(a):
-        blobs.append((int(a[0]) % buckets, b"", b"", a.tobytes(), b.tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in blobs], pa.int64()), *(pa.array([r[i] for r in blobs], pa.binary()) for i in range(1, 5))],
-                                     ["bucket", "sign", "key", "a", "b"])
+    blobs = [(int(bucket[i]), sign[i:j].tobytes(), key[i:j].tobytes(), large[i:j].tobytes(), b"", b"", b"", b"")
+             for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)])]
+    for i in range(0, len(rows), 100_000):
+        blobs.append((int(rows[i] >> np.uint64(33)) % buckets, b"", b"", b"", star[i:i + 100_000, 0].tobytes(), star[i:i + 100_000, 1].tobytes(),
+                      rows[i:i + 100_000].tobytes(), keys[i:i + 100_000].tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in blobs], pa.int64()), *(pa.array([r[i] for r in blobs], pa.binary()) for i in range(1, 8))],
+                                     list(_SENT))
 
 
-def _signed(docs: DataFrame, buckets: int, stars: bool) -> DataFrame:
+def _signed(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs, keys, held = [], [], 0
         for batch in batches:
@@ -162,102 +181,113 @@ def _signed(docs: DataFrame, buckets: int, stars: bool) -> DataFrame:
                 keys.append(_keys(size, doc, value)[of])
                 held += len(of)
                 if held >= FLUSH:
-                    yield from _send(np.concatenate(signs), np.concatenate(keys), buckets, stars)
+                    yield from _send(np.concatenate(signs), np.concatenate(keys), buckets)
                     signs, keys, held = [], [], 0
         if held:
-            yield from _send(np.concatenate(signs), np.concatenate(keys), buckets, stars)
-
-    return docs.select("text").mapInArrow(run, "bucket bigint, sign binary, key binary, a binary, b binary")
+            yield from _send(np.concatenate(signs), np.concatenate(keys), buckets)
 
+    return docs.select("text").mapInArrow(run, "bucket bigint, " + ", ".join(f"{c} binary" for c in _SENT[1:]))
 
-def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
+def _grouped(table: pa.Table) -> pa.Table:
+    """Of a bucket: candidate pairs (all of small groups, stars of large ones), and the rows (signature, key) of large groups."""
+    def joined(name: str, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
-def _grouped(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, key, first of its signature) of a bucket, each (signature, key) once."""
-    sign, key = _joined(table, "sign", np.uint64), _joined(table, "key", np.int64)
+    sign, key, large = joined("sign", np.uint64), joined("key", np.int64), joined("large", bool)
+    marked = np.unique(sign[large])
     order = np.argsort(sign)
     sign, key = sign[order], key[order]
     same = np.zeros(len(sign) + 1, bool)
     same[1:-1] = sign[1:] == sign[:-1]
     some = same[:-1] | same[1:]
-    sign, key = sign[some], key[some]
-    order = np.lexsort((key, sign))
-    sign, key = sign[order], key[order]
-    new = np.ones(len(sign), bool)
-    new[1:] = (sign[1:] != sign[:-1]) | (key[1:] != key[:-1])
-    sign, key = sign[new], key[new]
-    head = np.ones(len(sign), bool)
-    head[1:] = sign[1:] != sign[:-1]
-    return sign, key, head
+    sign, key, group, size = _heads(sign[some], key[some])
+    many = (size > SMALL) | np.isin(sign, marked)
+    pairs = [np.column_stack([joined("a", np.int64), joined("b", np.int64)]), _stars(key[many], group[many])]
+    rows = [np.column_stack([joined("rows", np.int64), joined("keys", np.int64)]), np.column_stack([sign[many].view(np.int64), key[many]])]
+    key, group = key[~many], group[~many]
+    for step in range(1, SMALL):
+        near = group[step:] == group[:-step]
+        if not near.any():
+            break
+        pairs.append(np.column_stack([key[:-step][near], key[step:][near]]))
+    pairs, rows = (np.unique(np.concatenate(x), axis=0) for x in (pairs, rows))
+    both = np.concatenate([pairs, rows])
+    return pa.table({"pair": pa.array(np.arange(len(both)) < len(pairs)), "a": pa.array(both[:, 0].copy()), "b": pa.array(both[:, 1].copy())})
 
 
-def _star(table: pa.Table) -> pa.Table:
-    sign, key, head = _grouped(table)
-    lead = key[head][np.cumsum(head) - 1] if len(key) else key
-    a = np.concatenate([lead[~head], _joined(table, "a", np.int64)])
-    b = np.concatenate([key[~head], _joined(table, "b", np.int64)])
-    pairs = np.unique(np.column_stack([a, b]), axis=0) if len(a) else np.empty((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+def _cells(value: np.ndarray) -> bytes:
+    """Counts of a set's features over a power of two of parts, at least as many as features; a lower bound of differences."""
+    parts = 1 << max(4, int(len(value) - 1).bit_length())
+    return np.minimum(np.bincount((value >> np.uint64(20)) & np.uint64(parts - 1), minlength=parts), 255).astype(np.uint8).tobytes()
 
 
-def _shared_signs(table: pa.Table) -> pa.Table:
-    sign, key, head = _grouped(table)
-    group = np.cumsum(head) - 1
-    some = np.bincount(group, minlength=1)[group] > 1 if len(key) else np.empty(0, bool)
-    return pa.table({"sign": pa.array(sign[some].view(np.int64)), "key": pa.array(key[some])})
+def _sketch(cells: bytes, parts: int) -> np.ndarray:
+    return np.frombuffer(cells, np.uint8).astype(np.int16).reshape(-1, parts).sum(0, dtype=np.int16)
 
 
-def _sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, n, marks) of the sets of the documents whose doc_id is in `keys`."""
+def _sets(docs: DataFrame, keys: DataFrame, whole: bool) -> DataFrame:
+    """(key, n, cells or marks) of the sets of the documents whose doc_id is in `keys`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, size, doc, value in _each(batch, 0):
                 ends = np.append(0, np.cumsum(size))
                 key = _keys(size, doc, value)
                 some = np.flatnonzero(size > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[some]), pa.array(size[some]), pa.array([value[ends[i]:ends[i + 1]].view(np.int64) for i in some], pa.list_(pa.int64()))],
-                    ["key", "n", "marks"])
+                each = [value[ends[i]:ends[i + 1]] for i in some]
+                held = pa.array([v.view(np.int64) for v in each], pa.list_(pa.int64())) if whole else pa.array([_cells(v) for v in each], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(size[some]), held], ["key", "n", "held"])
+
+    found = attach(docs, keys, "doc_id", "left_semi").select("text")
+    return found.mapInArrow(run, f"key bigint, n bigint, held {'array<bigint>' if whole else 'binary'}")
 
-    return attach(docs, keys, "doc_id", "left_semi").select("text").mapInArrow(run, "key bigint, n bigint, marks array<bigint>")
+
+def _bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            ok = np.minimum(na, nb) * 100 >= np.maximum(na, nb) * PERCENT
+            x, y = batch.column(4), batch.column(5)
+            for i in np.flatnonzero(ok).tolist():
+                p, q = x[i].as_py(), y[i].as_py()
+                parts = min(len(p), len(q))
+                gap = int(np.abs(_sketch(p, parts) - _sketch(q, parts)).sum())
+                ok[i] = gap * (100 + PERCENT) <= int(na[i] + nb[i]) * (100 - PERCENT)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], ["a", "b"])
+
+    left = sketches.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("held").alias("ca"))
+    right = sketches.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("held").alias("cb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with `ok`: 100 * intersection >= PERCENT * union, counted on the whole sets."""
-    left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("marks").alias("ma"))
-    right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("mb"))
-    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
+    """The pairs with 100 * intersection >= PERCENT * union, counted on the whole sets."""
+    left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("held").alias("ma"))
+    right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("held").alias("mb"))
     both = F.size(F.array_intersect("ma", "mb"))
-    ok = near & (both * 100 >= (F.col("na") + F.col("nb") - both) * PERCENT)
-    return pairs.join(right, "b").join(left, "a").select("a", "b", ok.alias("ok"))
+    return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * PERCENT).select("a", "b")
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one signature from different components whose feature counts allow a link; compared in tiles."""
+    """Pairs of one signature from different components whose sizes and sketches allow a link.
+
+    Each such pair has a set outside the largest component, so only those are compared with the rest.
+    """
     comp, key, n = (table.column(c).to_numpy() for c in ("comp", "key", "n"))
-    order = np.argsort(n, kind="stable")
-    comp, key, n = comp[order], key[order], n[order]
-    marks = table.column("marks").combine_chunks()
-    marks = marks.chunk(0) if isinstance(marks, pa.ChunkedArray) else marks
-    parts = 1 << max(4, int(n[-1] // 3).bit_length())
-    cells = np.zeros((len(n), parts), np.int32)
-    for row, i in enumerate(order.tolist()):
-        value = np.asarray(marks[i].values.to_numpy()).view(np.uint64)
-        cells[row] = np.bincount((value >> np.uint64(20)) & np.uint64(parts - 1), minlength=parts)
+    cells = table.column("held").to_pylist()
+    parts = min(map(len, cells))
+    sketch = np.stack([_sketch(c, parts) for c in cells])
+    names, at, many = np.unique(comp, return_inverse=True, return_counts=True)
     a, b = [], []
-    for i in range(len(n)):
-        to = int(np.searchsorted(n, n[i] * 100 // PERCENT, "right"))
-        step = max(1, PAIRS // parts)
-        for j in range(i + 1, to, step):
-            rest = slice(j, min(to, j + step))
-            gap = np.abs(cells[rest] - cells[i]).sum(1)
-            ok = (comp[rest] != comp[i]) & (gap * (100 + PERCENT) <= (n[rest] + n[i]) * (100 - PERCENT))
-            b.append(key[rest][ok])
-            a.append(np.full(len(b[-1]), key[i]))
+    for i in np.flatnonzero(at != many.argmax()) if len(names) > 1 else ():
+        some = np.flatnonzero((comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * PERCENT))
+        gap = np.abs(sketch[some] - sketch[i]).sum(1)
+        got = key[some[gap * (100 + PERCENT) <= (n[some] + n[i]) * (100 - PERCENT)]]
+        a.append(np.minimum(got, key[i]))
+        b.append(np.maximum(got, key[i]))
     a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+    return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -269,12 +299,12 @@ def join(docs: DataFrame) -> DataFrame:
     one doc_id are one vertex.  Empty and null texts have 0 shingles and link with nothing; a row without
     doc_id has no component.
 
-    1. PartEnum signatures of every set are grouped by value.  Inside a group each set is linked to the
-       smallest one only, first in the sending task and then over all tasks, so a frequent signature sends one
-       row from each flush.  These star pairs are verified on whole sets.
-    2. Where all pairs of a group hold, its sets are connected and nothing is lost.  Sets near a pair that
-       failed sign again; inside each of their groups the pairs of different components that pass an exact
-       lower bound of their differences are verified too.
+    1. PartEnum signatures of every set are grouped by value.  Up to SMALL sets of one signature are candidate
+       pairs; a larger group is a star around its smallest set for now, formed in the sending tasks first, so
+       a frequent signature sends one row from each flush.
+    2. Candidates whose sketches prove too many differences go; the others are counted on whole sets.
+    3. In large groups, all pairs of different components so far are held against the sketches, and those left are
+       counted too.  Pairs inside a component need no look: they change nothing.
     """
     docs = docs.select("doc_id", "text")
     named = stored(describe(docs), "sets")
@@ -284,33 +314,27 @@ def join(docs: DataFrame) -> DataFrame:
     buckets = max(1, int(total * 0.7) // BUCKET)
     copies = stored(named.where("doc_id is not null and key is not null").join(reps, "key").where("doc_id <> rep").select("doc_id").distinct(), "copies")
     only = attach(docs.where("doc_id is not null"), copies, "doc_id", "left_anti")
-    stars = stored(_signed(only, buckets, True).groupBy("bucket").applyInArrow(_star, "a bigint, b bigint").distinct(), "stars")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        return stored(_sets(docs, stored(reps.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "wanted")), "marks")
-
-    marks = sets_of(stars)
-    checked = stored(_verified(stars, marks), "checked")
-    good = checked.where("ok").select("a", "b")
-    reach = checked.where("not ok").select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    if not reach.isEmpty():
-        for _ in range(3):  # a signature's links are a tree of depth two
-            near = checked.join(reach.select(F.col("key").alias("a")), "a", "left_semi").select(F.col("b").alias("key")).unionAll(
-                checked.join(reach.select(F.col("key").alias("b")), "b", "left_semi").select(F.col("a").alias("key")))
-            reach = stored(reach.unionAll(near).distinct(), "reach")
-        again = attach(docs, stored(reps.join(reach, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "again"), "doc_id", "left_semi")
+    found = stored(_signed(only, buckets).groupBy("bucket").applyInArrow(_grouped, "pair boolean, a bigint, b bigint"), "candidates")
+    pairs, large = found.where("pair").select("a", "b").distinct(), found.where("not pair").select(F.col("a").alias("sign"), F.col("b").alias("key"))
+
+    def sets_of(keys: DataFrame, whole: bool) -> DataFrame:
+        ids = reps.join(keys.distinct(), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+        return stored(_sets(docs, stored(ids, "wanted"), whole), "sets")
+
+    def ends_of(some: DataFrame) -> DataFrame:
+        return some.select(F.explode(F.array("a", "b")).alias("key"))
+
+    sketches = sets_of(ends_of(pairs), False)   # the stars reach every set of a large group
+    near = stored(_bounded(pairs, sketches), "near")
+    good = stored(_verified(near, sets_of(ends_of(near), True)), "good")
+    if not large.isEmpty():
         comp = components(good).select(F.col("v").alias("key"), F.col("root").alias("comp"))
-        held = marks.join(reach, "key", "left_semi").join(comp, "key", "left").select(
-            "key", "n", "marks", F.coalesce("comp", "key").alias("comp"))
-        shared = _signed(again, buckets, False).groupBy("bucket").applyInArrow(_shared_signs, "sign bigint, key bigint")
-        held = stored(held, "held")
-        full = shared.join(held.select("key", "comp"), "key")
-        mixed = stored(full, "signs")
-        several = mixed.groupBy("sign").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sign")
-        tiles = mixed.join(several, "sign", "left_semi").select("sign", "key").join(held, "key")
+        held = stored(sketches.join(comp, "key", "left").select("key", "n", "held", F.coalesce("comp", "key").alias("comp")), "held")
+        named_rows = stored(large.distinct().join(held.select("key", "comp"), "key"), "large")
+        mixed = named_rows.groupBy("sign").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sign")
+        tiles = named_rows.join(mixed, "sign", "left_semi").select("sign", "key").join(held, "key")
         more = stored(tiles.groupBy("sign").applyInArrow(_across, "a bigint, b bigint").distinct(), "across")
-        good = good.unionAll(_verified(more, marks).where("ok").select("a", "b"))
+        good = good.unionAll(_verified(more, sets_of(ends_of(more), True)))
     name = reps.select("key", "rep")
     links = good.join(name.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(
         name.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
