@@ -270,7 +270,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one signature from different components whose sizes and sketches allow a link.
+    """Pairs of one group from different components whose sizes and sketches allow a link.
 
     Each such pair has a set outside the largest component, so only those are compared with the rest.
     """
@@ -325,15 +325,21 @@ def join(docs: DataFrame) -> DataFrame:
         return some.select(F.explode(F.array("a", "b")).alias("key"))
 
     sketches = sets_of(ends_of(pairs), False)   # the stars reach every set of a large group
-    near = stored(_bounded(pairs, sketches), "near")
+    sized = reps.select("key", "n")
+    alike = pairs.join(sized.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(
+        sized.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
+    alike = alike.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT).select("a", "b")
+    near = stored(_bounded(alike, sketches), "near")
     good = stored(_verified(near, sets_of(ends_of(near), True)), "good")
     if not large.isEmpty():
         comp = components(good).select(F.col("v").alias("key"), F.col("root").alias("comp"))
         held = stored(sketches.join(comp, "key", "left").select("key", "n", "held", F.coalesce("comp", "key").alias("comp")), "held")
-        named_rows = stored(large.distinct().join(held.select("key", "comp"), "key"), "large")
-        mixed = named_rows.groupBy("sign").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sign")
-        tiles = named_rows.join(mixed, "sign", "left_semi").select("sign", "key").join(held, "key")
-        more = stored(tiles.groupBy("sign").applyInArrow(_across, "a bigint, b bigint").distinct(), "across")
+        # Signatures with one smallest set are compared together: near copies share many of them.
+        lead = large.groupBy("sign").agg(F.min("key").alias("lead"))
+        member = stored(large.join(lead, "sign").select("lead", "key").distinct().join(held.select("key", "comp"), "key"), "members")
+        mixed = member.groupBy("lead").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("lead")
+        tiles = member.join(mixed, "lead", "left_semi").select("lead", "key").join(held, "key")
+        more = stored(tiles.groupBy("lead").applyInArrow(_across, "a bigint, b bigint").distinct(), "across")
         good = good.unionAll(_verified(more, sets_of(ends_of(more), True)))
     name = reps.select("key", "rep")
     links = good.join(name.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(
