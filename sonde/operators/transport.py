@@ -125,9 +125,11 @@ def catchup_seconds(timeline: DataFrame, consumed: DataFrame, keys: Sequence[str
         F.max_by("wall_ns", "arrival").alias("resume_ns"))
     t, lag = F.col("wall_ns"), F.col("outstanding_events")
     order = F.struct("wall_ns", "phase_order", "sequence")
-    around = resumes.join(timeline, list(keys), "left").groupBy(*keys, "resume_ns").agg(
+    # The timeline leads: resumes are one row for each key, and its marks are aggregated before the second join.
+    around = timeline.join(resumes, list(keys)).groupBy(*keys).agg(
         F.max_by(F.when(t <= F.col("resume_ns"), lag), F.when(t <= F.col("resume_ns"), order)).alias("lag"),
         F.min(F.when((t >= F.col("resume_ns")) & (lag == 0), t)).alias("empty_ns"))
+    around = resumes.join(around, list(keys), "left")
     caught = F.when(F.coalesce("lag", F.lit(0)) == 0, F.col("resume_ns")).otherwise(F.col("empty_ns"))
     return around.select(*keys, ((caught - F.col("resume_ns")) / 1e9).alias("catchup_seconds"))
 

@@ -81,7 +81,8 @@ def _encoded(events: DataFrame) -> DataFrame:
 class RunProcessor(StatefulProcessor):
     """Takes a run's events in sequence order, once each, whatever order they arrive in.
 
-    strict   an event that is not the next one is refused
+    strict   a micro-batch is taken in sequence order (arrival order ends at the shuffle); an event that
+             is not the next one is refused
     reorder  an event ahead of a gap waits in the state store until the gap closes
 
     With `settings` each accepted event yields its track frame, else the event itself.
@@ -100,9 +101,9 @@ class RunProcessor(StatefulProcessor):
         life = LifecycleState(stored.get("life"))
         book = _book(self.settings, stored.get("book")) if self.settings else None
         held = stored.get("held", 0)
-        for chunk in rows:
+        for chunk in self._ordered(rows):
             out = []
-            for sequence, body in sorted(zip(chunk["stream_sequence"].tolist(), chunk["body"].tolist())):
+            for sequence, body in zip(chunk["stream_sequence"].tolist(), chunk["body"].tolist()):
                 if self.policy == "reorder" and sequence > life.position + 1 and not life.finished:
                     if self.waiting.containsKey((sequence,)):
                         out.append(_refused(key, sequence, "duplicate_event", body))
@@ -120,6 +121,13 @@ class RunProcessor(StatefulProcessor):
             yield pd.DataFrame(out, columns=["run_id", "stream_sequence", "rule", "body"])
         self.state.update((json.dumps({"life": vars(life), "held": held, "book": _packed(book)}),))
 
+    def _ordered(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Chunks whose size does not matter: strict gathers the run's micro-batch, reorder takes chunks as they come."""
+        if self.policy == "strict":
+            rows = [pd.concat(list(rows), ignore_index=True)]
+        for chunk in rows:
+            yield chunk.sort_values(["stream_sequence", "body"], kind="stable")
+
     def _take(self, key, sequence, body, life, book):
         event = json.loads(body)
         rule = life.problem(event)

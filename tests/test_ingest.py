@@ -189,13 +189,13 @@ def test_empty_inbox_and_stream_diff(spark, tmp_path):
     assert ingest.stream_diff(a, a).count() == 0 and ingest.stream_diff(a, b).count() == 2
 
 
-def test_large_sources_get_a_line_tree_identity(spark, tmp_path):
-    import hashlib
-
+def test_sources_of_any_size_have_one_identity(spark, tmp_path):
     write(tmp_path, "a.events", golden())
     write(tmp_path, "b.events", small())
-    rows = {r["source_name"]: r["recording_sha256"] for r in recordings.archive_raw(spark, str(tmp_path), leaf_bytes=300).collect()}
-    assert rows["b.events"] == hashlib.sha256(small().encode()).hexdigest() and rows["a.events"].startswith("lines:")
+    (tmp_path / "c.events").write_bytes(golden().replace("\n", "\r\n").encode())
+    rows = {r["source_name"]: r["recording_sha256"] for r in recordings.archive_raw(spark, str(tmp_path)).collect()}
+    assert rows["a.events"] == rows["c.events"] != rows["b.events"]
+    assert len(rows) == 3 and all(len(v) == 64 for v in rows.values())
 
 
 def test_reconciliation_rules(spark):

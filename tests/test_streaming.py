@@ -57,6 +57,24 @@ def test_shuffled_live_fusion_equals_batch(spark, tmp_path):
     assert rows(got) == rows(batch)
 
 
+def test_strict_does_not_depend_on_chunks(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    pieces(folder, longer(), 9)
+    names = sorted(os.listdir(folder))
+    whole = [line for n in reversed(names) for line in open(os.path.join(folder, n)).read().splitlines()[::-1] if not line.startswith("#")]
+    seen = []
+    for size in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        one = str(tmp_path / f"one{size}")
+        head = longer().split("\n")[0]
+        write(one, "all.events", [head, *[x for x in whole if x != head]], 0)
+        out = str(tmp_path / f"out{size}")
+        run(live.start_table(live.stream_validate(events_stream(spark, one), "strict"), out, str(tmp_path / f"ck{size}")))
+        seen.append(sorted((r.stream_sequence, r.rule or "") for r in spark.read.parquet(out).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen[0] == seen[1] and seen[0]
+
+
 def test_strict_refuses_and_restart_continues(spark, tmp_path):
     folder, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
     lines = golden().rstrip("\n").split("\n")
