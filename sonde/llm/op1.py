@@ -24,12 +24,13 @@ SCHEMA = "doc_id bigint, lang_pred string, score double"
 def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS) -> dict:
     """Log frequencies of words and n-grams by language, from (text, lang) rows with both present.
 
-    At most `fit_docs` rows are read, those of the smallest hashes of their text, and of each language the
+    At most `fit_docs` rows are read, those of the smallest hashes of text and language, equal ones once, and of each language the
     `fit_words` most frequent words are kept: the model is bounded, and collected only after counting on
     the executors.  Without rows the model knows no language.
     """
     rows = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text", "lang").alias("_h"))
-    rows = rows.orderBy("_h").limit(fit_docs)
+    last = rows.select("_h").distinct().orderBy("_h").limit(fit_docs).agg(F.max("_h")).first()[0]
+    rows = rows.where(F.col("_h") <= F.lit(last).cast("bigint")).groupBy("_h").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
     found = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word"))
     counts = stored(found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words")
     langs = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
