@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from sonde.llm.textvec import mix, powers
 
 END = 2
 BLOCK = 1_000_000       # ids of a block, about; a block holds whole documents
-ROUNDS, RULES, LEAST = 3, 2_500, 8
+ROUNDS, RULES, LEAST = 2, 4_000, 8
 KNOWN = 1_500_000       # pieces a worker remembers; it starts anew beyond
 CHUNK = 1_000_000       # characters split at once
 SPECIAL = "<|endoftext|>"
@@ -89,15 +90,13 @@ class Encoder:
         many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         for i in range(0, len(names), 20_000):
             found = [e.ids for e in many(names[i:i + 20_000], add_special_tokens=False)]
-            size = np.array([len(x) for x in found], np.int64)
-            flat = np.array([x for y in found for x in y], np.uint16)
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum()))
             at = len(self.ids) + np.cumsum(size) - size
-            slots = np.arange(len(self.size), len(self.size) + len(size))
             self.start, self.size, self.ids = np.append(self.start, at), np.append(self.size, size), np.append(self.ids, flat)
-            self.slots = np.append(self.slots, slots)
-        self.keys = np.append(self.keys, keys)
-        order = np.argsort(self.keys)
-        self.keys, self.slots = self.keys[order], self.slots[order]
+        at = np.searchsorted(self.keys, keys)   # both are sorted
+        self.slots = np.insert(self.slots, at, np.arange(len(self.size) - len(keys), len(self.size)))
+        self.keys = np.insert(self.keys, at, keys)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without an end id; no text may hold a special token's name."""
