@@ -21,6 +21,7 @@ from sonde.plans.ordered import BLOCK_ROWS, first_rows
 from sonde.session import scratch_dir
 from sonde.sources import recordings, sinks, tables
 
+# Names of the checks of a quality report
 CHECKS = ("run_lifecycle", "global_sequence", "sensor_scan_sequence", "acquisition_time",
           "logical_event_identity", "measurement_count")
 FINAL_CHECK = "clean_reconciliation"
@@ -89,7 +90,7 @@ def classify_imports(found: DataFrame, verdicts: DataFrame, archive: DataFrame,
     df = found.join(verdicts, "source", "left").join(conflict, "source", "left").join(
         known, "recording_sha256", "left").join(saved, "recording_sha256", "left").join(stored, "run_id", "left")
     clash = F.when(F.col("conflict"), F.concat(
-        F.lit("run "), F.col("run_id").cast("string"), F.lit(" already exists with different events; assign a new run ID")))
+        F.lit("run "), F.col("run_id").cast("string"), F.lit(" is published with other events; the recording needs its own run_id")))
     error = F.coalesce("saved_error", "error", clash)
     df = df.withColumn("error", F.coalesce(error, F.when(F.col("run_id").isNull(), "empty recording")))
     # Of several new spellings of one new run, the first source is the import, the rest are archived.
@@ -286,7 +287,7 @@ def publish_analysis(spark: SparkSession, root: str, runs: DataFrame, sensors: D
         "run_id", F.col("inputs_sha256").alias("stored")), "analysis-manifest")
     state = _frozen(spark, digests.join(source, "run_id").join(before, "run_id", "left"), "analysis-state")
     if not state.filter(F.col("stored") != F.col("inputs_sha256")).isEmpty():
-        raise ValueError("run already has different analytical artifacts; assign a new run ID")
+        raise ValueError("other artifacts of this run are published; they cannot be replaced")
     fresh = state.filter(F.col("stored").isNull())
     keep = lambda df: df.join(fresh.select("run_id"), "run_id", "left_semi")
     truth = evaluation.truth_at_scans(keep(frames), keep(ground_truth))

@@ -116,7 +116,7 @@ def open_dataset(spark: SparkSession, root: str, verify: bool | str = True) -> d
     """
     manifest = published(spark, root)
     if manifest.isEmpty():
-        raise ValueError("dataset contains no completed runs")
+        raise ValueError("the dataset has no published runs")
     if not manifest.filter(F.col("schema_version") != schemas.SCHEMA_VERSION).isEmpty():
         raise ValueError("unsupported dataset schema")
     tables = {name: _visible(spark, root, name, schema, manifest) for name, schema in schemas.CLEAN_TABLES.items()}
@@ -128,7 +128,7 @@ def open_dataset(spark: SparkSession, root: str, verify: bool | str = True) -> d
                 manifest.select("batch").distinct(), "batch", "left_semi")
             lost = verify_files(recorded, stored_files(spark, f"{root}/clean")).limit(1).collect()
             if lost:
-                raise ValueError(f"dataset file integrity check failed: {lost[0]['file']} {lost[0]['problem']}")
+                raise ValueError(f"files do not match their published digests: {lost[0]['file']} {lost[0]['problem']}")
         bad = verify_partitions(manifest, tables).limit(1).collect()
         if bad:
             raise ValueError(f"dataset integrity check failed: run {bad[0]['run_id']}: {bad[0]['detail']}")

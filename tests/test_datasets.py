@@ -2,7 +2,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
-from recordings import HEADER, Script, collected, events_of, golden, lines_of, rule_names, with_frame_lines
+from recordings import HEADER, Script, collected, events_of, harbour, lines_of, rule_names, with_frame_lines
 
 from sonde import schemas
 from sonde.operators import ingest, rules, tracking
@@ -145,8 +145,8 @@ def test_clean_files_of_one_big_run_are_split_and_ordered(spark, tmp_path):
 
 
 def test_header_only_and_user_sql(spark):
-    events = events_of(spark, golden())
-    assert tables.run_query(spark, "SELECT count(*) FROM e WHERE sensor_id = ?", [7], {"e": events}).first()[0] == 6
+    events = events_of(spark, harbour())
+    assert tables.run_query(spark, "SELECT count(*) FROM e WHERE sensor_id = ?", [4], {"e": events}).first()[0] == 5
     from sonde.operators.decode import decode_events
 
     assert decode_events(lines_of(spark, HEADER)).count() == 0

@@ -3,7 +3,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
-from recordings import HEADER, collected, events_of, f32, golden, lines_of, rule_names, small
+from recordings import HEADER, Script, buoy, collected, edited, events_of, f32, harbour, lines_of, rule_names, without
 
 from sonde.operators import decode, ingest, rules, summaries
 from sonde.sources import recordings, tables
@@ -27,81 +27,66 @@ def problems(spark, *texts):
     return [broken.get(f"r{i}", set()) for i in range(len(texts))]
 
 
-def test_golden_fields(spark):
-    events = events_of(spark, golden())
-    assert events.count() == 14
+def test_typed_tables_of_a_recording(spark):
+    events = events_of(spark, harbour())
     scans, measured = decode.explode_scans(events), decode.explode_measurements(events)
-    assert (scans.count(), measured.count()) == (6, 4)
-    first = measured.filter("stream_sequence = 4").first()
-    assert tuple(first)[2:] == (4, 0.0, 7, 0, 1, 1, f32(0.123456789), f32(-12345.6789), f32(0.123456789), f32(0.00000123456789))
-    assert collected(scans.filter("measurement_count = 0").select("run_generation", "sensor_id", "scan_sequence"), "run_generation") == [
-        (0, 9, 1), (1, 7, 1)]
-    assert events.filter("sensor_id is null").count() == 3
-    assert events.filter("stream_sequence = 3").first()["seed"] == 456
+    assert (events.count(), scans.count(), measured.count()) == (16, 6, 6)
+    last = measured.filter("run_generation = 0").orderBy(F.desc("stream_sequence")).first()
+    assert tuple(last)[2:] == (10, 1.125, 2, 0, 2, 3, 19.25, -6.25, f32(.9), 2.0)
+    assert collected(scans.filter("measurement_count = 0").select("stream_sequence", "sensor_id")) == [(7, 8)]
+    assert collected(events.filter("seed is not null").select("stream_sequence", "seed"), "stream_sequence") == [
+        (2, 8), (3, 10), (4, 14), (12, 8), (13, 10), (14, 14)]
     cadence = {tuple(r)[1:4]: tuple(r)[4:] for r in summaries.scan_cadence(scans).collect()}
-    assert cadence.pop((0, 9, 0)) == (2, .5, .5, .5, 2.0) and set(cadence.values()) == {(1, None, None, None, None)}
-    rows = collected(summaries.sensor_summary(decode.event_rows(events), scans), "run_generation", "sensor_id")
-    assert tuple(rows[1][1:]) == (0, 9, 2, 1, 1, 50.0, 0.5) and tuple(rows[2][1:]) == (1, 7, 1, 0, 1, 100.0, 0.0)
+    assert cadence == {(0, 2, 0): (2, 1., 1., 1., 1.)} | {k: (1, None, None, None, None) for k in [
+        (0, 4, 0), (0, 4, 1), (0, 8, 0), (1, 8, 0)]}
+    rows = {tuple(r)[1:3]: tuple(r)[3:] for r in summaries.sensor_summary(decode.event_rows(events), scans).collect()}
+    assert rows == {(0, 2): (2, 3, 0, 0., 1.5), (0, 4): (2, 2, 0, 0., 1.), (0, 8): (1, 0, 1, 100., 0.),
+                    (1, 2): (0, 0, 0, None, None), (1, 4): (0, 0, 0, None, None), (1, 8): (1, 1, 0, 0., 1.)}
 
 
-def test_no_scan_recording_keeps_schema(spark):
-    events = events_of(spark, f"{HEADER}\nRUN_STARTED 202 0 1 0\nSENSOR_STARTED 202 0 2 0 1 0 0\nRUN_FINISHED 202 0 3 0\n")
+def test_silent_sensors_are_summarised(spark):
+    events = events_of(spark, Script(77, (5, 6)).finish(3))
     scans = decode.explode_scans(events)
-    assert scans.count() == 0 and "measurement_count" in scans.columns
-    assert [tuple(r)[1:] for r in summaries.sensor_summary(decode.event_rows(events), scans).collect()] == [
-        (0, 1, 0, 0, 0, None, None)]
-
-
-def test_defect_corpus_and_truncations(spark):
-    g, lines = golden(), golden().splitlines()
-    cases = [
-        (g, set()), (golden(2**64 - 1), set()), (small(), set()),
-        (g.replace(HEADER, "SENSOR_EVENTS 2"), "token_grammar"),
-        (g.rsplit("RUN_FINISHED", 1)[0], "finished"),
-        (g.replace("0 8 0.5 9 0 2", "0 8 0.5 9 0 3"), "scan_sequence_contiguous"),
-        (g.replace("105 0 0.75 42", "105 nan 0.75 42"), "token_grammar"),
-        (g.replace("105 0 0.75 42", "105 0 0.75"), "measurement_count"),
-        (g.replace("RUN_STARTED 101 0 1", "RUN_STARTED 101 0 2"), "first_is_start"),
-        (g.replace(lines[1] + "\n", ""), "first_is_start"),
-        (g.replace(lines[2], "RUN_STARTED 101 0 2 0"), "first_is_start"),
-        (g + "RUN_RESET 101 2 15 0\n", "nothing_after_finish"),
-        (g.replace(lines[5] + "\n", ""), "sequence_contiguous"),
-        (g + lines[4].replace("0.123456789", "0.2") + "\n", "conflicting_duplicate"),
-        (g.replace("0 8 0.5 9 0 2", "0 8 0.5 8 0 1"), "known_sensor"),
-        (g.replace("0 8 0.5 9", "0 8 0.125 9"), "time_monotone"),
-        (g.replace("9 0 2 1 1 105", "9 0 2 2 1 105"), "measurement_count"),
-        (g.replace(lines[2], lines[2] + " 5"), "token_grammar"),
-        (g.replace("SENSOR_RESET", "SENSOR_RENEW"), "token_grammar"),
-        (g.replace("SENSOR_STARTED 101 0 2", "SENSOR_STARTED 102 0 2"), "single_run"),
-        (g.replace("6 0.25 7 1", "6 0.25 7 3"), "sensor_reset_transition"),
-        (g.replace("7 0.25 7 1 1", "7 0.25 7 0 1"), "scan_generation"),
-        (g.replace("7 1 1 1 1 -2.5", "7 1 1 1 2 -2.5"), "detection_identity"),
-        (g.replace("-2.5 3.25 0.5 2", "-2.5 3.25 1.5 2"), "measurement_values"),
-        (g.replace("RUN_RESET 101 1 9 0", "RUN_RESET 101 2 9 0"), "run_reset_transition"),
-        (g.replace("0 3 0 9 0 456", "0 3 0 5 0 456"), "sensor_start_order"),
-        (g.replace("0 6 0.25 7 1", "0 6 0 3 0 9").replace("SENSOR_RESET", "SENSOR_STARTED"), "sensor_start_window"),
-        (g.replace("RUN_FINISHED 101 1", "RUN_FINISHED 101 0"), "generation_stable"),
-        (g.replace("RUN_FINISHED 101 1 14 1", "RUN_FINISHED 101 1 14 -1"), "finite_nonnegative_time"),
-        (g.replace("105 0 0.75 42", "1e39 0 0.75 42"), "token_grammar"),
-        (g.replace("105 0 0.75 42", "1e-60 0 0.75 42"), "token_grammar"),
-        (g.replace("105 0 0.75 42", "105f 0 0.75 42"), "token_grammar"),
-        (g.replace("RUN_STARTED 101", "RUN_STARTED 18446744073709551616"), "token_grammar"),
-        (g.replace(lines[3] + "\n" + lines[4], lines[4] + "\n" + lines[3]), "sequence_contiguous"),
-    ]
-    found = problems(spark, *(text for text, _ in cases))
-    for (text, want), got in zip(cases, found):
-        assert (got == want) if want == set() else want in got, (want, got, text)
-    prefixes = ["\n".join(lines[:n]) + "\n" for n in range(2, len(lines))]
-    assert all(problems(spark, *prefixes))
+    assert scans.count() == 0
+    rows = summaries.sensor_summary(decode.event_rows(events), scans)
+    assert collected(rows.drop("run_id"), "sensor_id") == [(0, s, 0, 0, 0, None, None) for s in (5, 6)]
+
+
+# (rule that must be reported, event, tokens that are replaced) on `harbour`
+EDITS = [
+    ("first_is_start", 1, {3: 4}), ("first_is_start", 1, {0: "RUN_RESET"}), ("single_run", 4, {1: 312}),
+    ("generation_stable", 16, {2: 0}), ("time_monotone", 10, {4: .3125}), ("finite_nonnegative_time", 16, {4: -1}),
+    ("run_reset_transition", 11, {2: 5}), ("sensor_start_order", 3, {5: 9}), ("known_sensor", 10, {5: 6}),
+    ("sensor_start_window", 8, {0: "SENSOR_STARTED", 5: 9, 6: "0 5"}), ("sensor_reset_transition", 8, {6: 2}),
+    ("scan_generation", 9, {6: 0}), ("scan_sequence_contiguous", 10, {7: 4}), ("detection_identity", 10, {9: 9}),
+    ("measurement_values", 9, {12: -.25}), ("measurement_count", 5, {8: 3}), ("measurement_count", 15, {8: 0}),
+    ("token_grammar", 3, {4: "0.0 0.0"}), ("token_grammar", 8, {0: "SENSOR_PAUSED"}), ("token_grammar", 6, {10: "inf"}),
+    ("token_grammar", 6, {10: "9e38"}), ("token_grammar", 6, {10: "3e-70"}), ("token_grammar", 6, {11: "7,5"}),
+    ("token_grammar", 1, {1: 2**64})]
+
+
+def test_every_rule_finds_its_defect(spark):
+    text = harbour()
+    rows = text.split("\n")
+    cases = [(rule, edited(text, event, tokens)) for rule, event, tokens in EDITS]
+    cases += [("token_grammar", text.replace(HEADER, "SENSOR_EVENTS 7")),
+              ("finished", without(text, 16)), ("first_is_start", without(text, 1)), ("sequence_contiguous", without(text, 7)),
+              ("sequence_contiguous", "\n".join([*rows[:6], rows[7], rows[6], *rows[8:]])),
+              ("nothing_after_finish", text + "SENSOR_RESET 311 1 17 0.75 4 1\n"),
+              ("conflicting_duplicate", text + edited(text, 9, {10: 19.5}).split("\n")[9] + "\n")]
+    assert problems(spark, text, harbour(2**64 - 1), buoy()) == [set()] * 3
+    for (rule, changed), got in zip(cases, problems(spark, *(c[1] for c in cases))):
+        assert rule in got, (rule, got, changed)
+    assert all(problems(spark, *("\n".join(rows[:n]) + "\n" for n in range(2, 17))))
 
 
 def test_duplicates_are_removed_and_digest_is_spelling_free(spark):
-    lines = golden().splitlines()
-    repeated = "\n".join(lines[:5] + [lines[4].replace("0.123456789 -12345", "0.1234567890 -12345")] + lines[5:] + [lines[-1]]) + "\n"
-    decoded = decode.decode_events(lines_of(spark, golden(), repeated, golden().replace("105 0", "106 0"))).cache()
+    text = harbour()
+    respelled = text + edited(text, 6, {10: "18.50"}).split("\n")[6] + "\n" + text.split("\n")[16] + "\n"
+    decoded = decode.decode_events(lines_of(spark, text, respelled, edited(text, 15, {10: 4}))).cache()
     verdicts = ingest.examine(decoded, rules.dedup_events(decode.accepted(decoded)).cache(), 4)
     a, b, c = verdicts.orderBy("source").collect()
-    assert (a["error"], b["error"], b["duplicates_removed"], b["events"]) == (None, None, 2, 14)
+    assert (a["error"], b["error"], b["duplicates_removed"], b["events"]) == (None, None, 2, 16)
     assert a["normalized_sha256"] == b["normalized_sha256"] != c["normalized_sha256"]
 
 
@@ -120,14 +105,14 @@ def test_line_numbers_survive_file_splits(spark, tmp_path):
 
 def test_ingest_end_to_end(spark, tmp_path):
     inbox, root = str(tmp_path / "inbox"), str(tmp_path / "data")
-    write(inbox, "one.events", golden())
-    write(inbox, "two.events", small(2**64 - 1))
-    write(inbox, "bad.events", small(5).replace("1.2500", "nan"))
+    write(inbox, "one.events", harbour())
+    write(inbox, "two.events", buoy(2**64 - 1))
+    write(inbox, "bad.events", buoy(5).replace("6.500", "nan"))
     first = ingest.ingest(spark, inbox, root, block_rows=4)
     assert first.totals == {"new_runs": 2, "new_recordings": 2, "unchanged": 0, "rejected": 1}
     clean = tables.open_dataset(spark, root)
-    assert {n: df.count() for n, df in clean.items()} == {"events": 19, "scans": 8, "measurements": 5}
-    assert {int(r[0]) for r in spark.sql("SELECT DISTINCT run_id FROM scans").collect()} == {101, 2**64 - 1}
+    assert {n: df.count() for n, df in clean.items()} == {"events": 22, "scans": 9, "measurements": 8}
+    assert {int(r[0]) for r in spark.sql("SELECT DISTINCT run_id FROM scans").collect()} == {311, 2**64 - 1}
     report = {r["status"]: r for r in spark.read.parquet(f"{root}/quality").collect()}
     assert report["passed"]["clean_events"] == report["passed"]["source_events"] and "token_grammar" in report["rejected"]["error"]
     files = sorted(glob.glob(f"{root}/clean/**/*.parquet", recursive=True))
@@ -135,34 +120,34 @@ def test_ingest_end_to_end(spark, tmp_path):
     again = ingest.ingest(spark, inbox, root, block_rows=4)
     assert again.totals == {"new_runs": 0, "new_recordings": 0, "unchanged": 2, "rejected": 1}
     # A new spelling is archived; a reused id with other events is refused; a new run is added.
-    write(inbox, "spelling.events", small(2**64 - 1).replace("\r\n", "\n").replace("1.2500", "1.25"))
-    write(inbox, "reuse.events", golden().replace("105 0", "106 0"))
-    write(inbox, "three.events", small(3))
+    write(inbox, "spelling.events", buoy(2**64 - 1).replace("\r\n", "\n").replace("6.500", "6.5"))
+    write(inbox, "reuse.events", edited(harbour(), 15, {10: 4}))
+    write(inbox, "three.events", buoy(3))
     third = ingest.ingest(spark, inbox, root, block_rows=4)
     assert third.totals == {"new_runs": 1, "new_recordings": 2, "unchanged": 2, "rejected": 2}
     status = {r["source_name"]: (r["status"], r["error"]) for r in third.classified.collect()}
-    assert status["spelling.events"][0] == "archived" and "already exists with different events" in status["reuse.events"][1]
+    assert status["spelling.events"][0] == "archived" and "published with other events" in status["reuse.events"][1]
     assert set(files) <= set(glob.glob(f"{root}/clean/**/*.parquet", recursive=True))
-    assert collected(spark.sql("SELECT run_id, count(*) FROM events GROUP BY 1").select("count(1)"), "count(1)") == [(5,), (14,)]
-    assert tables.open_dataset(spark, root)["events"].count() == 24
-    pruned = tables.open_dataset(spark, root, verify=False)["events"].filter("run_id = 101")
+    assert collected(spark.sql("SELECT run_id, count(*) FROM events GROUP BY 1").select("count(1)"), "count(1)") == [(6,), (16,)]
+    assert tables.open_dataset(spark, root)["events"].count() == 28
+    pruned = tables.open_dataset(spark, root, verify=False)["events"].filter("run_id = 311")
     assert "PartitionFilters: [isnotnull(run_id" in pruned._jdf.queryExecution().executedPlan().toString()
 
 
 def test_interrupted_write_is_recovered_and_damage_is_seen(spark, tmp_path, monkeypatch):
     inbox, root = str(tmp_path / "inbox"), str(tmp_path / "data")
-    write(inbox, "one.events", small())
+    write(inbox, "one.events", buoy(1))
     with monkeypatch.context() as m:
         m.setattr(ingest, "verify_partitions", lambda *a: (_ for _ in ()).throw(OSError("interrupted")))
         with pytest.raises(OSError):
             ingest.ingest(spark, inbox, root)
-    with pytest.raises(ValueError, match="no completed runs"):
+    with pytest.raises(ValueError, match="no published runs"):
         tables.open_dataset(spark, root)
     result = ingest.ingest(spark, inbox, root)
     assert result.totals["new_runs"] == 1 and result.classified.first()["status"] == "recovered"
-    assert tables.open_dataset(spark, root)["events"].count() == 5
+    assert tables.open_dataset(spark, root)["events"].count() == 6
     batch = spark.read.parquet(f"{root}/manifest").first()["batch"]
-    assert tables.open_dataset(spark, root, verify="files")["events"].count() == 5
+    assert tables.open_dataset(spark, root, verify="files")["events"].count() == 6
     target = glob.glob(f"{root}/clean/scans/run_id=1/batch={batch}/*.parquet")[0]
     bytes_ = open(target, "rb").read()
     # Same rows, other bytes: only the file check can tell.
@@ -171,7 +156,7 @@ def test_interrupted_write_is_recovered_and_damage_is_seen(spark, tmp_path, monk
     os.replace(crc, str(tmp_path / "old.crc"))
     with open(target, "wb") as f:
         f.write(open(glob.glob(str(tmp_path / "other" / "*.parquet"))[0], "rb").read())
-    with pytest.raises(ValueError, match="file integrity check failed.*changed"):
+    with pytest.raises(ValueError, match="files do not match.*changed"):
         tables.open_dataset(spark, root, verify="files")
     with open(target, "wb") as f:
         f.write(bytes_)
@@ -185,27 +170,27 @@ def test_interrupted_write_is_recovered_and_damage_is_seen(spark, tmp_path, monk
 def test_empty_inbox_and_stream_diff(spark, tmp_path):
     os.makedirs(tmp_path / "inbox")
     assert ingest.ingest(spark, str(tmp_path / "inbox"), str(tmp_path / "d")).totals["new_runs"] == 0
-    a, b = events_of(spark, golden()), events_of(spark, golden().replace("105 0", "106 0"))
+    a, b = events_of(spark, harbour()), events_of(spark, edited(harbour(), 15, {10: 4}))
     assert ingest.stream_diff(a, a).count() == 0 and ingest.stream_diff(a, b).count() == 2
 
 
 def test_sources_of_any_size_have_one_identity(spark, tmp_path):
-    write(tmp_path, "a.events", golden())
-    write(tmp_path, "b.events", small())
-    (tmp_path / "c.events").write_bytes(golden().replace("\n", "\r\n").encode())
+    write(tmp_path, "a.events", harbour())
+    write(tmp_path, "b.events", buoy())
+    (tmp_path / "c.events").write_bytes(harbour().replace("\n", "\r\n").encode())
     rows = {r["source_name"]: r["recording_sha256"] for r in recordings.archive_raw(spark, str(tmp_path)).collect()}
     assert rows["a.events"] == rows["c.events"] != rows["b.events"]
     assert len(rows) == 3 and all(len(v) == 64 for v in rows.values())
 
 
 def test_reconciliation_rules(spark):
-    events = events_of(spark, golden())
+    events = events_of(spark, harbour())
     ev, sc, me = decode.event_rows(events), decode.explode_scans(events), decode.explode_measurements(events)
     assert rules.table_constraints({"events": ev, "scans": sc, "measurements": me}).count() == 0
     assert rules.reconcile_scan_measurements(sc, me).count() == rules.reconcile_event_scan(ev, sc).count() == 0
-    fewer = me.filter("stream_sequence <> 4")
+    fewer = me.filter("stream_sequence <> 9")
     assert rules.reconcile_scan_measurements(sc, fewer).count() == 1
-    assert rules.reconcile_scan_measurements(sc.filter("stream_sequence <> 4"), me).count() == 1
-    assert rules.reconcile_event_scan(ev, sc.filter("stream_sequence <> 5")).count() == 1
+    assert rules.reconcile_scan_measurements(sc.filter("stream_sequence <> 9"), me).count() == 1
+    assert rules.reconcile_event_scan(ev, sc.filter("stream_sequence <> 7")).count() == 1
     doubled = rule_names(rules.table_constraints({"events": ev.union(ev), "scans": sc, "measurements": me}))
     assert doubled == {"table_keys"}

@@ -1,7 +1,7 @@
 import os
 
 from pyspark.sql import functions as F
-from recordings import HEADER, Script, collected, events_of, golden, viewer
+from recordings import HEADER, Script, collected, events_of, harbour, relay
 
 from sonde.operators import decode, tracking
 from sonde.operators.summaries import detections_over_time
@@ -77,7 +77,7 @@ def test_strict_does_not_depend_on_chunks(spark, tmp_path):
 
 def test_strict_refuses_and_restart_continues(spark, tmp_path):
     folder, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
-    lines = golden().rstrip("\n").split("\n")
+    lines = harbour().rstrip("\n").split("\n")
     write(folder, "a.events", lines[:6], 0)
     start = lambda: run(live.start_table(live.stream_validate(events_stream(spark, folder), "strict"), out, ck))
     start()
@@ -89,22 +89,22 @@ def test_strict_refuses_and_restart_continues(spark, tmp_path):
     refused = collected(rows.filter("rule is not null").select("stream_sequence", "rule"), "stream_sequence")
     assert refused == [(4, "sequence_contiguous"), (9, "sequence_contiguous")]
     accepted = rows.filter("rule is null")
-    assert [r[0] for r in collected(accepted.select("stream_sequence"), "stream_sequence")] == list(range(1, 15))
-    same = events_of(spark, golden())
+    assert [r[0] for r in collected(accepted.select("stream_sequence"), "stream_sequence")] == list(range(1, 17))
+    same = events_of(spark, harbour())
     exact = accepted.withColumn("event_time_seconds", F.col("event_time_seconds").cast("float")).select(*decode.EVENT_COLUMNS)
     assert exact.exceptAll(decode.event_rows(same)).count() == 0
 
 
 def test_recording_is_complete_only_after_finish(spark, tmp_path):
     folder, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
-    lines = viewer().rstrip("\n").split("\n")
+    lines = relay().rstrip("\n").split("\n")
     write(folder, "a.events", lines[:8], 0)
     run(live.stream_record(events_stream(spark, folder), out, ck))
     state = lambda: [tuple(r)[1:] for r in live.recorded_runs(spark.read.parquet(out)).collect()]
     assert state() == [(7, False)]
     write(folder, "b.events", lines[8:], 1)
     run(live.stream_record(events_stream(spark, folder), out, ck))
-    assert state() == [(10, True)]
+    assert state() == [(12, True)]
 
 
 def test_windows_equal_batch_buckets(spark, tmp_path):
@@ -137,18 +137,18 @@ def test_dedup_and_independent_consumers(spark, tmp_path):
 
 def test_sensor_state_stream(spark, tmp_path):
     folder = str(tmp_path / "in")
-    pieces(folder, viewer(), 4)
+    pieces(folder, relay(), 4)
     latest = {}
     query = live.start_batches(live.stream_sensor_state(events_stream(spark, folder)), lambda df, n: latest.update(
-        {(r["run_generation"], r["sensor_generation"]): (r["scans"], r["measurements"]) for r in df.collect()}), str(tmp_path / "ck"))
+        {(r["run_generation"], r["sensor_id"], r["sensor_generation"]): (r["scans"], r["measurements"]) for r in df.collect()}), str(tmp_path / "ck"))
     run(query)
-    assert latest == {(0, 0): (3, 2), (0, 1): (0, 0), (1, 0): (1, 1)}
+    assert latest == {(0, 3, 0): (2, 1), (0, 5, 0): (1, 2), (0, 5, 1): (0, 0), (1, 3, 0): (0, 0), (1, 5, 0): (1, 1)}
 
 
 def test_messages_check_envelope_and_key(spark, tmp_path):
-    events = events_of(spark, golden())
+    events = events_of(spark, harbour())
     messages = sinks.transport_messages(decode.recording_lines(events))
-    assert decode.decode_messages(messages).filter("error is null").count() == 14
+    assert decode.decode_messages(messages).filter("error is null").count() == 16
     again = decode.accepted(decode.decode_messages(messages)).select(*decode.EVENT_COLUMNS)
     assert again.exceptAll(decode.event_rows(events)).count() == 0
     body = "RUN_STARTED 1 0 1 0\n"
@@ -161,4 +161,4 @@ def test_messages_check_envelope_and_key(spark, tmp_path):
         str(tmp_path / "topic"))
     topic = spark.readStream.schema("key binary, value binary").parquet(str(tmp_path / "topic"))
     run(live.start_table(live.stream_messages(topic), str(tmp_path / "out"), str(tmp_path / "ck")))
-    assert spark.read.parquet(str(tmp_path / "out")).filter("error is null").count() == 14
+    assert spark.read.parquet(str(tmp_path / "out")).filter("error is null").count() == 16

@@ -1,6 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
-from recordings import Script, collected, events_of, f32, viewer, with_frame_lines
+from recordings import Script, collected, events_of, f32, relay, with_frame_lines
 
 from sonde.functions.trackbook import FusionSettings
 from sonde.operators import evaluation as M
@@ -120,18 +120,17 @@ def test_samples_and_summary(spark, fuse):
     assert tracking.associations(frames).count() == 2
 
 
-def test_viewer_state_and_playback(spark):
-    events = events_of(spark, viewer()).cache()
+def test_state_and_playback_through_restarts(spark):
+    events = events_of(spark, relay()).cache()
     frames = tracking.fuse_tracks(events, block_rows=2).cache()
-    trail = lambda n: tracking.track_trails(frames, n, block_rows=2).count()
-    assert trail(4) == 2 and trail(6) > 0 and trail(7) == 0
-    state = lambda n: {r["sensor_id"]: r for r in tracking.sensor_state(events, n).collect()}
-    assert (state(4)[1]["scans"], state(4)[1]["measurements"]) == (2, 2)
-    assert state(5)[1]["scans"] == 3 and state(5)[1]["latest"] == []
-    assert (state(6)[1]["sensor_generation"], state(6)[1]["scans"]) == (1, 0) and state(7) == {}
-    assert state(10)[1]["scans"] == 1
+    assert [tracking.track_trails(frames, n, block_rows=2).count() for n in (4, 5, 8)] == [1, 3, 0]
+    state = lambda n: {r["sensor_id"]: (r["sensor_generation"], r["scans"], r["measurements"])
+                       for r in tracking.sensor_state(events, n).collect()}
+    assert state(5) == {3: (0, 1, 1), 5: (0, 1, 2)} and state(7) == {3: (0, 2, 1), 5: (1, 0, 0)}
+    assert state(8) == {} and state(12) == {3: (0, 0, 0), 5: (0, 1, 1)}
+    assert [r["latest"] for r in tracking.sensor_state(events, 6).filter("sensor_id = 3").collect()] == [[]]
     timeline = tracking.playback_timeline(events, block_rows=3)
-    assert [tracking.due_by(timeline, t).count() for t in (0, .25, .5, .75, 1.25)] == [3, 3, 4, 9, 10]
+    assert [tracking.due_by(timeline, t).count() for t in (0, .25, .5, 1, 1.125, 1.5)] == [3, 4, 6, 10, 11, 12]
     with pytest.raises(ValueError):
         tracking.due_by(timeline, -1)
 
