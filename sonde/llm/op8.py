@@ -18,6 +18,8 @@ PERCENT = 75            # two sets link when 100 * intersection >= PERCENT * uni
 FLUSH = 1_000_000       # signatures a task gathers before it sends them on
 BUCKET = 1_000_000      # signatures of one shuffled bucket, about
 SMALL = 12              # sets of one signature that are paired at once; more are linked as a star first
+TILE = 2_000            # sets of a block of a large group; blocks are compared in pairs
+TILE_BYTES = 16 << 20   # and bytes of their sketches
 
 _tops: list[int] = []
 
@@ -165,7 +167,9 @@ def _send(sign: np.ndarray, key: np.ndarray, buckets: int) -> Iterator[pa.Record
     blobs = [(int(bucket[i]), sign[i:j].tobytes(), key[i:j].tobytes(), large[i:j].tobytes(), b"", b"", b"", b"")
              for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)])]
     for i in range(0, len(rows), 100_000):
-        blobs.append((int(rows[i] >> np.uint64(33)) % buckets, b"", b"", b"", star[i:i + 100_000, 0].tobytes(), star[i:i + 100_000, 1].tobytes(),
+        # These are final, so any bucket will do: a frequent signature's rows are dealt over buckets of their own.
+        spread = buckets + int(mix(rows[i:i + 1] ^ keys[i:i + 1].view(np.uint64))[0] % np.uint64(buckets))
+        blobs.append((spread, b"", b"", b"", star[i:i + 100_000, 0].tobytes(), star[i:i + 100_000, 1].tobytes(),
                       rows[i:i + 100_000].tobytes(), keys[i:i + 100_000].tobytes()))
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in blobs], pa.int64()), *(pa.array([r[i] for r in blobs], pa.binary()) for i in range(1, 8))],
                                      list(_SENT))
@@ -270,18 +274,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one group from different components whose sizes and sketches allow a link.
-
-    Each such pair has a set outside the largest component, so only those are compared with the rest.
-    """
-    comp, key, n = (table.column(c).to_numpy() for c in ("comp", "key", "n"))
+    """Pairs of two blocks of one group, from different components, whose sizes and sketches allow a link."""
+    side, comp, key, n = (table.column(c).to_numpy() for c in ("side", "comp", "key", "n"))
     cells = table.column("held").to_pylist()
     parts = min(map(len, cells))
     sketch = np.stack([_sketch(c, parts) for c in cells])
-    names, at, many = np.unique(comp, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(side == 1)
     a, b = [], []
-    for i in np.flatnonzero(at != many.argmax()) if len(names) > 1 else ():
-        some = np.flatnonzero((comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * PERCENT))
+    for i in np.flatnonzero(side == 0):
+        some = rest[(comp[rest] != comp[i]) & (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * PERCENT)]
         gap = np.abs(sketch[some] - sketch[i]).sum(1)
         got = key[some[gap * (100 + PERCENT) <= (n[some] + n[i]) * (100 - PERCENT)]]
         a.append(np.minimum(got, key[i]))
@@ -290,6 +291,36 @@ def _across(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
+def _tiles(large: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs of blocks of each group that lies in several components.
+
+    Each pair of different components has a set outside the group's largest one, so only those (side 0) meet
+    the rest (side 1).  Both sides are dealt into blocks of bounded rows and bytes, and blocks meet in pairs.
+    """
+    # Signatures with one smallest set are compared together: near copies share many of them.
+    lead = large.groupBy("sign").agg(F.min("key").alias("lead"))
+    sized = held.select("key", "comp", F.length("held").alias("wide"))
+    member = stored(large.join(lead, "sign").select("lead", "key").distinct().join(sized, "key"), "members")
+    each = member.groupBy("lead", "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("wide").alias("wide"))
+    most = F.max(F.struct("rows", "wide", "comp"))
+    groups = each.groupBy("lead").agg(most.alias("most"), F.sum("rows").alias("rows"), F.sum("wide").alias("wide"), F.count(F.lit(1)).alias("comps"))
+
+    def blocks(rows, wide):
+        return F.greatest(F.ceil(rows / TILE), F.ceil(wide / TILE_BYTES), F.lit(1)).cast("int")
+
+    mixed = groups.where("comps > 1").select(
+        "lead", F.col("most.comp").alias("main"), blocks(F.col("rows") - F.col("most.rows"), F.col("wide") - F.col("most.wide")).alias("few"),
+        blocks(F.col("rows"), F.col("wide")).alias("all"))
+    dealt = attach(member.drop("wide"), stored(mixed, "mixed"), "lead", "inner")
+    dealt = dealt.join(held.select("key", "n", "held"), "key").withColumn("h", F.xxhash64("key"))
+    columns = ["lead", "key", "comp", "n", "held"]
+    others = dealt.where("comp <> main").select(
+        *columns, F.lit(0).alias("side"), F.expr("pmod(h, few)").cast("int").alias("x"), F.explode(F.expr("sequence(0, `all` - 1)")).alias("y"))
+    rest = dealt.select(
+        *columns, F.lit(1).alias("side"), F.explode(F.expr("sequence(0, few - 1)")).alias("x"), F.expr("pmod(h, `all`)").cast("int").alias("y"))
+    return others.unionByName(rest)
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs`.
 
@@ -334,12 +365,7 @@ def join(docs: DataFrame) -> DataFrame:
     if not large.isEmpty():
         comp = components(good).select(F.col("v").alias("key"), F.col("root").alias("comp"))
         held = stored(sketches.join(comp, "key", "left").select("key", "n", "held", F.coalesce("comp", "key").alias("comp")), "held")
-        # Signatures with one smallest set are compared together: near copies share many of them.
-        lead = large.groupBy("sign").agg(F.min("key").alias("lead"))
-        member = stored(large.join(lead, "sign").select("lead", "key").distinct().join(held.select("key", "comp"), "key"), "members")
-        mixed = member.groupBy("lead").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("lead")
-        tiles = member.join(mixed, "lead", "left_semi").select("lead", "key").join(held, "key")
-        more = stored(tiles.groupBy("lead").applyInArrow(_across, "a bigint, b bigint").distinct(), "across")
+        more = stored(_tiles(large, held).groupBy("lead", "x", "y").applyInArrow(_across, "a bigint, b bigint").distinct(), "across")
         good = good.unionAll(_verified(more, sets_of(ends_of(more), True)))
     name = reps.select("key", "rep")
     links = good.join(name.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(

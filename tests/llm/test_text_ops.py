@@ -106,6 +106,26 @@ def test_jaccard_join(spark):
     assert op8.join(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_jaccard_join_in_blocks(spark, monkeypatch):
+    """Near copies on both sides of the threshold, in groups larger than SMALL, dealt over many blocks."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    made = []
+    tiles = op8._tiles
+    monkeypatch.setattr(op8, "_tiles", lambda *a: made.append(tiles(*a)) or made[-1])
+    monkeypatch.setattr(op8, "TILE", 7)
+    root, _ = jaccard_components(rows)
+    got = {r.doc_id: r.component_id for r in op8.join(frame(spark, rows)).collect()}
+    assert got == root and len(set(root.values())) > 1
+    assert made and made[0].select("lead", "x", "y").distinct().count() > 4
+
+
 def test_signatures_miss_no_pair():
     """Random pairs at and just above the threshold share a signature, at sizes over all bands."""
     import numpy as np
