@@ -150,17 +150,26 @@ def _stars(key: np.ndarray, group: np.ndarray) -> np.ndarray:
 _SENT = ("bucket", "sign", "key", "large", "a", "b", "rows", "keys")
 
 
+def _named(bucket: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """A signature's name over all buckets: bucket and low half."""
+    return (bucket << 32) | sign.astype(np.int64)
+
+
 def _send(sign: np.ndarray, key: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Signatures by bucket, as blobs.  One that over SMALL sets share here sends a single set, marked; its star and its rows are final."""
+    """Signatures by bucket, as blobs of their low halves: a bucket holds about BUCKET of them, so few unlike ones
+    share a half, and those are only candidates.  A signature that over SMALL sets share here sends a single set, marked; its star
+    and its rows are final.
+    """
     sign, key, group, size = _heads(sign, key)
+    bucket = ((sign >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    sign = sign.astype(np.uint32)
     many = size > SMALL
     head = np.ones(len(sign), bool)
     head[1:] = group[1:] != group[:-1]
     star = _stars(key[many], group[many])
-    rows, keys = sign[many], key[many]
+    rows, keys = _named(bucket[many], sign[many]), key[many]
     go = ~many | head
-    sign, key, large = sign[go], key[go], many[go]
-    bucket = ((sign >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    bucket, sign, key, large = bucket[go], sign[go], key[go], many[go]
     order = np.argsort(bucket, kind="stable")
     bucket, sign, key, large = bucket[order], sign[order], key[order], large[order]
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -168,7 +177,7 @@ def _send(sign: np.ndarray, key: np.ndarray, buckets: int) -> Iterator[pa.Record
              for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)])]
     for i in range(0, len(rows), 100_000):
         # These are final, so any bucket will do: a frequent signature's rows are dealt over buckets of their own.
-        spread = buckets + int(mix(rows[i:i + 1] ^ keys[i:i + 1].view(np.uint64))[0] % np.uint64(buckets))
+        spread = buckets + int(mix((rows[i:i + 1] ^ keys[i:i + 1]).view(np.uint64))[0] % np.uint64(buckets))
         blobs.append((spread, b"", b"", b"", star[i:i + 100_000, 0].tobytes(), star[i:i + 100_000, 1].tobytes(),
                       rows[i:i + 100_000].tobytes(), keys[i:i + 100_000].tobytes()))
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in blobs], pa.int64()), *(pa.array([r[i] for r in blobs], pa.binary()) for i in range(1, 8))],
@@ -198,7 +207,8 @@ def _grouped(table: pa.Table) -> pa.Table:
     def joined(name: str, kind) -> np.ndarray:
         return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
-    sign, key, large = joined("sign", np.uint64), joined("key", np.int64), joined("large", bool)
+    sign, key, large = joined("sign", np.uint32), joined("key", np.int64), joined("large", bool)
+    bucket = np.int64(table.column("bucket")[0].as_py())
     marked = np.unique(sign[large])
     order = np.argsort(sign)
     sign, key = sign[order], key[order]
@@ -208,7 +218,7 @@ def _grouped(table: pa.Table) -> pa.Table:
     sign, key, group, size = _heads(sign[some], key[some])
     many = (size > SMALL) | np.isin(sign, marked)
     pairs = [np.column_stack([joined("a", np.int64), joined("b", np.int64)]), _stars(key[many], group[many])]
-    rows = [np.column_stack([joined("rows", np.int64), joined("keys", np.int64)]), np.column_stack([sign[many].view(np.int64), key[many]])]
+    rows = [np.column_stack([joined("rows", np.int64), joined("keys", np.int64)]), np.column_stack([_named(bucket, sign[many]), key[many]])]
     key, group = key[~many], group[~many]
     for step in range(1, SMALL):
         near = group[step:] == group[:-step]
