@@ -48,6 +48,8 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORD
                     found[i] += n
     for size in range(2, LONGEST + 1):  # a single sighting says little and takes most of the room
         model["grams"][size] = {g: c for g, c in model["grams"][size].items() if sum(c) > 2}
+    # Summed once here, as every task makes a scorer.
+    model["mass"] = [np.log(np.sum(list(g.values()), axis=0) + float(max(len(g), 1))) if g else np.zeros(len(langs)) for g in model["grams"]]
     return model
 
 
@@ -58,9 +60,7 @@ class Scorer:
         self.langs = model["langs"]
         self.size = len(self.langs)
         self.total = np.log(np.array(model["total"], float) + 1.0) if self.size else np.empty(0)
-        self.words, self.grams = model["words"], model["grams"]
-        self.mass = [np.log(np.array([sum(c[i] for c in g.values()) for i in range(self.size)], float) + max(len(g), 1))
-                     if g else np.zeros(self.size) for g in self.grams]
+        self.words, self.grams, self.mass = model["words"], model["grams"], model["mass"]
         self.known: dict[str, int] = {}
         self.table = np.empty((1024, self.size))
 
