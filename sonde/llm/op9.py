@@ -19,7 +19,7 @@ from sonde.llm.textvec import mix, powers
 
 END = 2
 BLOCK = 1_000_000       # ids of a block, about; a block holds whole documents
-ROUNDS, RULES, LEAST = 2, 4_000, 8
+RULES, LEAST = 4_000, 8   # pairs replaced in a pass, at most; a pair seen less often stays
 KNOWN = 1_500_000       # pieces a worker remembers; it starts anew beyond
 CHUNK = 1_000_000       # characters split at once
 SPECIAL = "<|endoftext|>"
@@ -142,38 +142,40 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     return out
 
 
+def _narrow(symbols: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each symbol."""
+    return symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
 def compress(ids: np.ndarray, ends: np.ndarray) -> bytes:
     """A block: Re-Pair rules, their expansion lengths, the grammar's sequence, and where each document ends in it.
 
-    Each round counts neighbouring pairs inside documents and replaces the most frequent RULES of them, those
-    seen LEAST times or more, by a new id, from left to right.  Ids stay below 65,536.
+    Each pass counts neighbouring pairs inside documents and replaces those seen LEAST times or more, the RULES
+    most frequent ones of them, by new symbols, from left to right; passes go on until no pair reaches LEAST.
+    Symbols are written in as many bytes, 2 or more, as the largest one takes.
     """
     sequence, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
     last[ends - 1] = True
-    free = 1 << 16
     symbol = int(sequence.max(initial=0)) + 1
     base, left, right, levels = symbol, [], [], []
-    for _ in range(ROUNDS):
-        pair = (sequence[:-1] << np.uint32(16)) | sequence[1:]
-        inside = pair[~last[:-1]]
-        if not len(inside):
-            break
-        ranked = np.sort(inside)
+    while True:
+        first, second = sequence[:-1], sequence[1:]
+        slot = (first * np.uint32(2654435761)) ^ (second * np.uint32(2246822519) + np.uint32(374761393))
+        slot = ((slot ^ (slot >> np.uint32(15))) * np.uint32(3266489917)) >> np.uint32(12)
+        at = np.flatnonzero(~last[:-1])
+        at = at[(np.bincount(slot[at], minlength=1 << 20) >= LEAST)[slot[at]]]   # a pair is no more frequent than its slot
+        pair = (first[at].astype(np.uint64) << np.uint64(32)) | second[at]
+        ranked = np.sort(pair)
         cut = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
         count = np.diff(np.append(cut, len(ranked)))
         often = np.flatnonzero(count >= LEAST)
-        room = min(RULES, free - symbol)
-        if len(often) > room:
-            often = np.sort(often[np.lexsort((often, -count[often]))[:room]])
         if not len(often):
             break
+        if len(often) > RULES:
+            often = np.sort(often[np.lexsort((often, -count[often]))[:RULES]])
         rules = ranked[cut[often]]
-        bits = np.zeros(1 << 20, bool)
-        slot = lambda p: (p * np.uint32(2654435761)) >> np.uint32(12)
-        bits[slot(rules)] = True
-        at = np.flatnonzero(bits[slot(pair)] & ~last[:-1])
-        which = np.minimum(np.searchsorted(rules, pair[at]), len(rules) - 1)
-        ok = rules[which] == pair[at]
+        which = np.minimum(np.searchsorted(rules, pair), len(rules) - 1)
+        ok = rules[which] == pair
         at, which = at[ok], which[ok]
         head = np.append(True, np.diff(at) > 1)
         run = np.arange(len(at)) - np.flatnonzero(head)[np.cumsum(head) - 1]
@@ -183,11 +185,11 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> bytes:
         keep[at + 1] = False
         last[at] = last[at + 1]
         sequence, last = sequence[keep], last[keep]
-        left.append((rules >> np.uint32(16)).astype(np.uint16))
-        right.append((rules & np.uint32(0xFFFF)).astype(np.uint16))
+        left.append((rules >> np.uint64(32)).astype(np.uint32))
+        right.append(rules.astype(np.uint32))
         levels.append(len(rules))
         symbol += len(rules)
-    none = np.empty(0, np.uint16)
+    none = np.empty(0, np.uint32)
     left, right = (np.concatenate(x) if x else none for x in (left, right))
     size = np.ones(symbol, np.uint32)
     at = base
@@ -196,17 +198,18 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> bytes:
         size[at:at + n] = size[left[rows]] + size[right[rows]]
         at += n
     doc_ends = np.flatnonzero(last).astype(np.uint32) + np.uint32(1)
-    head = struct.pack("<5I", base, len(left), len(sequence), len(doc_ends), len(levels))
-    return b"".join([head, np.array(levels, np.uint32).tobytes(), left.tobytes(), right.tobytes(), size[base:].astype(np.uint32).tobytes(),
-                     sequence.astype(np.uint16).tobytes(), doc_ends.tobytes()])
+    width = max(2, ((symbol - 1).bit_length() + 7) // 8)
+    head = struct.pack("<6I", base, len(left), len(sequence), len(doc_ends), len(levels), width)
+    return b"".join([head, np.array(levels, np.uint32).tobytes(), _narrow(left, width), _narrow(right, width), size[base:].tobytes(),
+                     _narrow(sequence, width), doc_ends.tobytes()])
 
 
 class Block:
     """A block read back; `document` expands one document only."""
 
     def __init__(self, data: bytes):
-        self.base, rules, n, docs, levels = struct.unpack_from("<5I", data)
-        at = 20
+        self.base, rules, n, docs, levels, width = struct.unpack_from("<6I", data)
+        at = 24
 
         def take(kind, many):
             nonlocal at
@@ -214,9 +217,14 @@ class Block:
             at += out.nbytes
             return out
 
+        def symbols(many):
+            out = np.zeros((many, 4), np.uint8)
+            out[:, :width] = take(np.uint8, many * width).reshape(many, width)
+            return out.view("<u4").ravel()
+
         levels = take(np.uint32, levels)
-        left, right, sizes = take(np.uint16, rules), take(np.uint16, rules), take(np.uint32, rules)
-        self.sequence, self.ends = take(np.uint16, n), take(np.uint32, docs)
+        left, right, sizes = symbols(rules), symbols(rules), take(np.uint32, rules)
+        self.sequence, self.ends = symbols(n), take(np.uint32, docs)
         self.size = np.append(np.ones(self.base, np.int64), sizes)
         self.start = np.arange(self.base + rules)
         flat, filled, first = [np.arange(self.base, dtype=np.uint16)], self.base, 0

@@ -182,3 +182,21 @@ def test_token_blocks(spark, tmp_path, monkeypatch):
     assert len(block.sequence) < len(ids)
     op9.write_blocks(frame(spark, rows).limit(0), str(tmp_path / "none"), path)
     assert op9.read_blocks(spark.read.parquet(str(tmp_path / "none"))).count() == 0
+
+
+@pytest.mark.parametrize("passage, copies, most", [(1000, 1000, 20), (60_000, 8, 60)])
+def test_grammar_replaces_all_frequent_pairs(passage, copies, most):
+    """Copies shrink to a few symbols, whatever their length and however many symbols that takes."""
+    rng = np.random.default_rng(4)
+    text = rng.integers(3, 50_000, passage).astype(np.uint16)
+    docs = [np.concatenate([rng.integers(3, 50_000, 5).astype(np.uint16), text, [2]]).astype(np.uint16) for _ in range(copies)]
+    ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
+    block = op9.Block(op9.compress(ids, ends))
+    got, at = block.documents()
+    assert (got == ids).all() and (at == ends).all() and (block.document(copies - 1) == docs[-1]).all()
+    inside = np.ones(len(block.sequence), bool)
+    inside[block.ends.astype(np.int64) - 1] = False
+    pairs = np.column_stack([block.sequence[:-1], block.sequence[1:]])[inside[:-1]]
+    assert np.unique(pairs, axis=0, return_counts=True)[1].max(initial=0) < op9.LEAST
+    assert len(block.sequence) < most * copies
+    assert len(block.size) > 1 << 16 or passage < 60_000
