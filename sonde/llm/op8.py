@@ -353,7 +353,9 @@ def join(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "reps")
     total = reps.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * 0.7) // BUCKET)
-    copies = stored(named.where("doc_id is not null and key is not null").join(reps, "key").where("doc_id <> rep").select("doc_id").distinct(), "copies")
+    # An id goes unsigned only if all of its sets are held by smaller ids; one that has a set of its own is signed whole.
+    held_by = named.where("doc_id is not null and key is not null").join(reps, "key")
+    copies = stored(held_by.groupBy("doc_id").agg(F.every(F.col("doc_id") != F.col("rep")).alias("all")).where("all").select("doc_id"), "copies")
     only = attach(docs.where("doc_id is not null"), copies, "doc_id", "left_anti")
     found = stored(_signed(only, buckets).groupBy("bucket").applyInArrow(_grouped, "pair boolean, a bigint, b bigint"), "candidates")
     pairs, large = found.where("pair").select("a", "b").distinct(), found.where("not pair").select(F.col("a").alias("sign"), F.col("b").alias("key"))

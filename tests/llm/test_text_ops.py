@@ -106,6 +106,17 @@ def test_jaccard_join(spark):
     assert op8.join(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_jaccard_join_of_an_id_with_two_texts(spark):
+    """An id's own text links to near copies although its other text is a copy of a smaller id's."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    own, other = say(120), say(90)
+    rows = odd_rows() + [(300, other), (301, own), (301, other), (302, own + " end"), (303, "start " + own)]
+    root, _ = jaccard_components(rows)
+    assert {root[i] for i in (300, 301, 302, 303)} == {300}
+    assert {r.doc_id: r.component_id for r in op8.join(frame(spark, rows)).collect()} == root | {None: None}
+
+
 def test_jaccard_join_in_blocks(spark, monkeypatch):
     """Near copies on both sides of the threshold, in groups larger than SMALL, dealt over many blocks."""
     rng = random.Random(8)
