@@ -182,3 +182,39 @@ def test_pipeline_stages(spark):
         docs = out
     assert docs.count() > 0
     assert corpus_pipeline.near_duplicates(spark, frame(spark, odd_rows()[20:40]), SF).count() < 20
+
+
+def test_pipeline_judges_rows(spark):
+    """Null ids and texts that share an id: each row stays or goes by its own text."""
+    import corpus_pipeline as stages
+
+    real = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' and length(text) > 300").orderBy("doc_id").limit(4).collect()]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").orderBy(F.desc(F.length("text"))).first().text
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    some = lambda rows: frame(spark, rows)
+    kept = lambda out: sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    want = lambda rows: sorted(rows, key=repr)
+    good, bad = [(None, real[0]), (7, real[1]), (8, real[2])], [(7, "12 34 !!"), (None, None), (9, "")]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*some(good).columns[:4])
+    out = stages.language(spark, docs.unionByName(some(good + bad).select(docs.columns)), SF).where("doc_id is null or doc_id in (7, 8, 9)")
+    base = {(r.doc_id, r.text) for r in docs.where("doc_id in (7, 8, 9)").collect()}
+    assert [x for x in kept(out) if x not in base] == want(x for x in good if x not in base)
+
+    a, b, c, d = (say(100) for _ in range(4))
+    rows = [(5, a), (5, b), (3, a + " end"), (None, c), (None, d), (2, d + " end"), (None, "start " + c), (5, b), (None, "")]
+    out = kept(stages.near_duplicates(spark, some(rows), SF))
+    assert [x for x in out if x[1] not in (c, "start " + c)] == want([(5, b), (3, a + " end"), (2, d + " end"), (None, "")])
+    assert sum(x in ((None, c), (None, "start " + c)) for x in out) == 1
+
+    clean = [(5, a), (None, b)]
+    assert kept(stages.decontamination(spark, some([*clean, (5, item), (None, item)]), SF)) == want(clean)
+
+    rows = [(i % 40, "x" * (100 + 6000 * (i // 40))) for i in range(80)] + [(None, "y"), (None, "http")]
+    mixed = some(rows)
+    cell = ["doc_id", "lang", "source", op5.topic_of(F.col("text")).alias("topic")]
+    drawn = op5.mix(mixed)
+    got = stages.mixing(spark, mixed, SF).select(cell)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, drawn.where("sampled").select("doc_id", "lang", "source", "topic").collect()))
+    both = drawn.groupBy("doc_id").agg(F.count_distinct("sampled").alias("n")).where("n > 1")
+    assert both.count() > 0
