@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonde.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
+from sonde.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11, op13
 from sonde.llm.common import tune
 from sonde.session import scratch_dir
 
@@ -70,6 +70,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        merges = op11.compile_merges(op11.read_ranks(file.read()))
+    found = op11.decode(op11.encode(table(spark, sf_dir, "documents"), merges), merges.tokens)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.digest(op13.transform(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,8 +115,26 @@ def _mixing_sql() -> str:
             "FROM k JOIN r USING (source, lang, topic)")
 
 
+def _middle_sql() -> str:
+    """Units as a list, cut by slices."""
+    h = ", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))
+    part = lambda a, b: f"coalesce(array_to_string(u[{a}:{b}], ''), '')"
+    return (f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    e AS (SELECT doc_id, t, {h}, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u FROM d),
+    f AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+             WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e),
+    g AS (SELECT doc_id, t, n::BIGINT AS n, form, {part(1, 'a')} AS p, {part('a + 1', 'b')} AS m, {part('b + 1', 'n')} AS s FROM f)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(t) AS restored_sha256 FROM g""")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language, "op2_suffix_array": op2_suffix_array, "op3_decontamination": op3_decontamination,
     "op4_embedding_join": op4_embedding_join, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_secrets": op7_secrets,
-    "op8_jaccard_join": op8_jaccard_join, "op9_token_blocks": op9_token_blocks, "op10_sharding": op10_sharding, "pipeline": pipeline}
-ORACLES: dict[str, str] = {"op5_mixing": _mixing_sql()}
+    "op8_jaccard_join": op8_jaccard_join, "op9_token_blocks": op9_token_blocks, "op10_sharding": op10_sharding,
+    "op11_byte_bpe": op11_byte_bpe, "op13_fill_in_middle": op13_fill_in_middle, "pipeline": pipeline}
+ORACLES: dict[str, str] = {"op5_mixing": _mixing_sql(), "op13_fill_in_middle": _middle_sql()}
