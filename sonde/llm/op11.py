@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -43,48 +44,71 @@ def read_ranks(lines: bytes) -> list[bytes]:
 
 
 class Merges(NamedTuple):
-    """A vocabulary and, for each token, the two tokens that its last merge joins (-1: none)."""
+    """A vocabulary (b"": no token of texts), the rank of each token's merge, and the two tokens that its last merge joins (-1: none)."""
     tokens: list[bytes]
-    left: np.ndarray
-    right: np.ndarray
+    rank: list[float]
+    left: list[int]
+    right: list[int]
+    characters: bool = False    # merges start from characters, not from bytes
+    strict: bool = False        # only those two join to the token, not any two tokens with its bytes
 
 
-def compile_merges(tokens: list[bytes]) -> Merges:
-    """Runs each token's own merges, lowest rank first and leftmost of equals, up to its last one."""
-    rank = {t: i for i, t in enumerate(tokens)}
-    if any(bytes([b]) not in rank for b in range(256)):
+def atoms(data: bytes, characters: bool) -> list[bytes]:
+    return [c.encode() for c in data.decode()] if characters else [data[i:i + 1] for i in range(len(data))]
+
+
+def merged(parts: list[bytes], rank: dict[bytes, float], least: int = 1) -> list[bytes]:
+    """The parts after all merges, lowest rank first and leftmost of equals, or when only `least` are left."""
+    none = float("inf")
+    cost = [rank.get(a + b, none) for a, b in zip(parts, parts[1:])]
+    while len(parts) > least and (best := min(cost)) < none:
+        i = cost.index(best)
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        del cost[i]
+        for j in (i - 1, i):
+            if 0 <= j < len(cost):
+                cost[j] = rank.get(parts[j] + parts[j + 1], none)
+    return parts
+
+
+def compile_merges(tokens: list[bytes], rank: list[float] | None = None, characters: bool = False) -> Merges:
+    """Runs each token's own merges up to its last one; ranks are ids unless given.
+
+    Merges start from bytes, which must all be tokens; or from `characters`, and then tokens that merges do not make are left out.
+    """
+    rank = list(range(len(tokens))) if rank is None else rank
+    known = {t: i for i, t in enumerate(tokens) if t}
+    cost = {t: rank[i] for t, i in known.items()}
+    if not characters and any(bytes([b]) not in known for b in range(256)):
         raise ValueError("a byte has no token")
-    left, right, none = np.full(len(tokens), -1, np.int32), np.full(len(tokens), -1, np.int32), len(tokens)
+    kept, left, right = list(tokens), [-1] * len(tokens), [-1] * len(tokens)
     for t, token in enumerate(tokens):
-        parts = [token[i:i + 1] for i in range(len(token))]
-        cost = [rank.get(token[i:i + 2], none) for i in range(len(token) - 1)]
-        while len(parts) > 2:
-            i = cost.index(best := min(cost))
-            if best == none:
+        parts = merged(atoms(token, characters), cost, 2)
+        if len(parts) == 2 and all(part in known for part in parts):
+            left[t], right[t] = (known[part] for part in parts)
+        elif len(parts) > 1:
+            if not characters:
                 raise ValueError(f"the merges never join token {t}")
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del cost[i]
-            for j in (i - 1, i):
-                if 0 <= j < len(cost):
-                    cost[j] = rank.get(parts[j] + parts[j + 1], none)
-        if len(parts) == 2:
-            left[t], right[t] = rank[parts[0]], rank[parts[1]]
-    return Merges(tokens, left, right)
+            kept[t] = b""
+    return Merges(kept, rank, left, right, characters)
 
 
 class Transducer:
     """The machine of one vocabulary."""
 
     def __init__(self, merges: Merges, kinds: Kinds):
-        self.tokens, self.kinds = merges.tokens, kinds
-        self.left, self.right = merges.left.tolist(), merges.right.tolist()
-        self.rank = {t: i for i, t in enumerate(self.tokens)}
+        self.tokens, self.rank, self.kinds, self.characters = merges.tokens, merges.rank, kinds, merges.characters
+        self.left, self.right = merges.left, merges.right
+        self.known = {t: i for i, t in enumerate(self.tokens) if t}
+        self.cost = {t: self.rank[i] for t, i in self.known.items()}
+        times = Counter(self.cost.values())
+        self.tied = [times[self.rank[i]] > 1 for i in range(len(self.tokens))]
         self.open = {t[:k] for t in self.tokens for k in range(1, len(t))}   # what longer tokens start with
-        self.joint: dict[tuple[int, int], int] = {}         # what two tokens make
+        self.joint: dict[tuple[int, int], int] = {}                          # what two tokens make
         for i, t in enumerate(self.tokens):
             for k in range(1, len(t)):
-                a, b = self.rank.get(t[:k]), self.rank.get(t[k:])
-                if a is not None and b is not None:
+                a, b = self.known.get(t[:k]), self.known.get(t[k:])
+                if a is not None and b is not None and (not merges.strict or (a, b) == (self.left[i], self.right[i])):
                     self.joint[a, b] = i
         self._forget()
 
@@ -101,18 +125,22 @@ class Transducer:
 
         While a and b are being merged, the part of a next to the border and the part of b next to it are nodes
         of their merge trees.  Two such nodes join if that ranks before the merges that swallow either of them.
+        Tokens of one rank are left to the merges themselves.
         """
         if a < 0:
             return True
-        joint, until_a = self.joint, len(self.tokens)
+        if self.tied[a] or self.tied[b]:
+            pair = [self.tokens[a], self.tokens[b]]
+            return merged(atoms(b"".join(pair), self.characters), self.cost) == pair
+        joint, rank, until_a = self.joint, self.rank, float("inf")
         while a >= 0:
-            until_b, y = len(self.tokens), b
+            until_b, y = float("inf"), b
             while y >= 0:
                 made = joint.get((a, y))
-                if made is not None and made < until_a and made <= until_b:
+                if made is not None and rank[made] < until_a and rank[made] <= until_b:
                     return False
-                until_b, y = y, self.left[y]
-            until_a, a = a, self.right[a]
+                until_b, y = rank[y], self.left[y]
+            until_a, a = rank[a], self.right[a]
         return True
 
     def _step(self, state: int, byte: int, last: bool) -> tuple[int, tuple[int, ...]]:
@@ -120,7 +148,7 @@ class Transducer:
         cuts, whole, byte = [], None, bytes([byte])
         for given, a, head in self.states[state]:
             head += byte
-            t = self.rank.get(head)
+            t = self.known.get(head)
             if t is not None and self.follows(a, t):
                 if whole is not None:
                     raise ValueError(f"the merges allow two cuts before token {t}")
@@ -299,32 +327,52 @@ def machine(merges: Merges) -> Transducer:
     return _cached[name]
 
 
+def encoded(batches: Iterator[pa.RecordBatch], merges: Merges) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) of batches of (doc_id, text)."""
+    own = machine(merges)
+    for batch in batches:
+        data, ends = utf8(batch.column(1))
+        for i, j in chunks(ends, CHUNK):
+            ids, at = own.encode(data, ends[i:j + 1])
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], lists], ["doc_id", "ids"])
+
+
+def decoded(batches: Iterator[pa.RecordBatch], tokens: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids, text) of batches of (doc_id, ids)."""
+    own = Decoder(tokens)
+    for batch in batches:
+        column, texts = batch.column(1), []
+        for i in range(batch.num_rows):
+            ids = column[i].values
+            ids = np.empty(0, np.int32) if ids is None else ids.to_numpy(zero_copy_only=False)
+            if len(ids) and not 0 <= ids.min() <= ids.max() < len(own.size):
+                raise ValueError("an id is not in the vocabulary")
+            texts.append("".join([*(own.feed(ids[k:k + FEED]) for k in range(0, len(ids), FEED)), own.finish()]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+
+
+def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of batches of (doc_id, ids, text)."""
+    for batch in batches:
+        ids = [" ".join(map(str, found)) for found in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(batch.column(1).value_lengths(), pa.int64()),
+             *(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()) for texts in (ids, batch.column(2).to_pylist()))],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def encode(docs: DataFrame, merges: Merges) -> DataFrame:
     """doc_id and ids (ARRAY<INT>) of each row's text, without special tokens."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = machine(merges)
-        for batch in batches:
-            data, ends = utf8(batch.column(1))
-            for i, j in chunks(ends, CHUNK):
-                ids, at = own.encode(data, ends[i:j + 1])
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], lists], ["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: encoded(batches, merges), "doc_id bigint, ids array<int>")
 
 
-def decode(encoded: DataFrame, tokens: list[bytes]) -> DataFrame:
+def decode(rows: DataFrame, tokens: list[bytes]) -> DataFrame:
     """doc_id, ids and text of rows of ids; null ids read as none, an id outside the vocabulary raises an error."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Decoder(tokens)
-        for batch in batches:
-            column, texts = batch.column(1), []
-            for i in range(batch.num_rows):
-                ids = column[i].values
-                ids = np.empty(0, np.int32) if ids is None else ids.to_numpy(zero_copy_only=False)
-                if len(ids) and not 0 <= ids.min() <= ids.max() < len(own.size):
-                    raise ValueError("an id is not in the vocabulary")
-                texts.append("".join([*(own.feed(ids[k:k + FEED]) for k in range(0, len(ids), FEED)), own.finish()]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, text string")
+    return rows.select("doc_id", "ids").mapInArrow(lambda batches: decoded(batches, tokens), "doc_id bigint, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, merges: Merges) -> DataFrame:
+    """Digests of `decode(encode(docs))`, in one worker: ids of all documents do not pass through the JVM."""
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: digested(decoded(encoded(batches, merges), merges.tokens)),
+                                                    "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonde.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11, op13
+from sonde.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11, op12, op13
 from sonde.llm.common import tune
 from sonde.session import scratch_dir
 
@@ -73,12 +74,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
-        merges = op11.compile_merges(op11.read_ranks(file.read()))
-    found = op11.decode(op11.encode(table(spark, sf_dir, "documents"), merges), merges.tokens)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-                        F.sha2("text", 256).alias("decoded_sha256"))
+    merges = op11.compile_merges(op11.read_ranks(Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()))
+    return op11.round_trip(table(spark, sf_dir, "documents"), merges)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = [Path(public_tokenizers.path(name)).read_bytes() for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return op12.align_documents(table(spark, sf_dir, "documents"), op12.byte_level(files[0]), op12.sentence_pieces(files[1])).drop("a", "b")
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,5 +140,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language, "op2_suffix_array": op2_suffix_array, "op3_decontamination": op3_decontamination,
     "op4_embedding_join": op4_embedding_join, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_secrets": op7_secrets,
     "op8_jaccard_join": op8_jaccard_join, "op9_token_blocks": op9_token_blocks, "op10_sharding": op10_sharding,
-    "op11_byte_bpe": op11_byte_bpe, "op13_fill_in_middle": op13_fill_in_middle, "pipeline": pipeline}
+    "op11_byte_bpe": op11_byte_bpe, "op12_alignment": op12_alignment,
+    "op13_fill_in_middle": op13_fill_in_middle, "pipeline": pipeline}
 ORACLES: dict[str, str] = {"op5_mixing": _mixing_sql(), "op13_fill_in_middle": _middle_sql()}
