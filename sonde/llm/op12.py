@@ -34,7 +34,7 @@ from sonde.llm.op11 import Merges, Transducer, compile_merges
 from sonde.llm.pretoken import tokenizers_kinds
 from sonde.llm.textvec import chunks, mix, utf8
 
-CHUNK = 1 << 20               # bytes aligned at once; a longer text goes by itself
+CHUNK = 1 << 18               # bytes aligned at once; a longer text goes by itself
 PAIRS = 8_000_000             # pairs of a slice: at most so many keys, and counts, are broadcast at once
 BUCKET = 50_000               # pairs of a hash bucket, about
 CELLS = 1 << 16               # hash cells that buckets are made of
