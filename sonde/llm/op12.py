@@ -18,6 +18,7 @@ null.  One text is aligned by itself, in some 150 bytes a byte of text.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from collections.abc import Iterator
@@ -229,6 +230,13 @@ def encode(docs: DataFrame, first: Broadcast, second: Broadcast) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _ENCODED)
 
 
+def forget() -> None:
+    """A worker that goes on to count needs no machines."""
+    if _cached:
+        _cached.clear()
+        gc.collect()
+
+
 def _realigned(batch: pa.RecordBatch, size_a: np.ndarray, size_b: np.ndarray) -> Iterator[tuple[int, int, Aligned]]:
     """Rows i to j of stored ids (columns a and b), aligned anew."""
     (raw_a, at_a), (raw_b, at_b) = utf8(batch.column("a")), utf8(batch.column("b"))
@@ -251,6 +259,7 @@ def distinct_pairs(encoded: DataFrame, size_a: np.ndarray, size_b: np.ndarray) -
     many = len(size_b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, fresh, size = np.empty(0, np.int64), [], 0
 
         def give() -> pa.RecordBatch:
@@ -348,6 +357,7 @@ def count_vectors(encoded: DataFrame, size_a: np.ndarray, size_b: np.ndarray, ha
     many = len(size_b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         own = hashes.value
         total = np.zeros(len(own.keys), np.int64)
         for batch in batches:
@@ -384,6 +394,7 @@ def look_up(rows: DataFrame, size_a: np.ndarray, size_b: np.ndarray, hashes: Bro
     many = len(size_b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         own, count = hashes.value, counts.value
         for batch in batches:
             for i, j, found in _realigned(batch, size_a, size_b):
