@@ -6,7 +6,6 @@ refuse the next event.  A refused event leaves the state as it was.  Rule names
 
 from __future__ import annotations
 
-import json
 import math
 
 
@@ -21,9 +20,6 @@ class LifecycleState:
         self.starting = s.get("starting", True)
         self.sensors = {int(k): tuple(v) for k, v in s.get("sensors", {}).items()}  # id -> (life, scans, detections)
 
-    def to_json(self) -> str:
-        return json.dumps(vars(self))
-
     def problem(self, e: dict) -> str | None:
         """The rule the event would break, or None."""
         kind, time, sensor = e["event_type"], e["event_time_seconds"], e.get("sensor_id")

@@ -7,39 +7,59 @@ checkpoints replace replaying a prefix after a restart.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import StructType
 
 from sonde import schemas
-from sonde.functions.lifecycle import LifecycleState
-from sonde.functions.trackbook import FusionSettings, Track, TrackBook, frame_of
+from sonde.functions import lifecycle, trackbook
+from sonde.functions.trackbook import FusionSettings
 from sonde.operators.decode import _typed, decode_messages
 from sonde.session import SETTINGS
+from sonde.streaming import policies
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+REACH = 10_000       # events of a run that wait for a gap at most
 EVENT_DDL = (
     "event_type string, run_id decimal(20,0), run_generation long, stream_sequence long, event_time_seconds double,"
     "sensor_id int, sensor_generation long, scan_sequence long, measurement_count long, seed long,"
     "measurements array<struct<detection_id:int,x:double,y:double,confidence:double,uncertainty_radius:double>>")
 FRAME_BODY = StructType([f for f in schemas.FRAMES.fields if f.name in (
     "run_generation", "acquisition_time", "source_type", "tracks", "associations", "retired")])
+# Stateful processors are also loaded by a Python runner beside the driver, which has no shipped package.
+for module in (policies, lifecycle, trackbook):
+    cloudpickle.register_pickle_by_value(module)
 
 
 # ---- sources ---------------------------------------------------------------------------------------
 
 def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None,
                  pattern: str = "*.events") -> DataFrame:
-    """Lines of recordings as files arrive; `files_per_trigger` bounds a micro-batch."""
+    """Lines of recordings as files arrive, with `arrival`, their place in the source; `files_per_trigger` bounds a micro-batch.
+
+    A place is the file's time and name, the start of the split, and the line's number in its task, which reads a
+    split from front to back.
+    """
     reader = spark.readStream.option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("line"))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            yield batch.append_column("n", pa.array(range(at, at + batch.num_rows), pa.int64()))
+            at += batch.num_rows
+
+    lines = reader.text(path).select(
+        F.col("_metadata.file_path").alias("source"), F.unix_micros("_metadata.file_modification_time").alias("t"),
+        F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    lines = lines.mapInArrow(numbered, "source string, t long, block long, line string, n long")
+    return lines.select("source", "line", F.format_string("%018d %s %015d %012d", "t", "source", "block", "n").alias("arrival"))
 
 
 def kafka_event_source(spark: SparkSession, servers: str, topic: str, max_events: int | None = None,
@@ -52,12 +72,12 @@ def kafka_event_source(spark: SparkSession, servers: str, topic: str, max_events
               .option("startingOffsets", starting).option("failOnDataLoss", "true"))
     if max_events:
         reader = reader.option("maxOffsetsPerTrigger", max_events)
-    return stream_messages(reader.load())
+    return stream_messages(reader.load().withColumn("arrival", F.col("offset")))    # a run's key has one partition
 
 
 def stream_messages(messages: DataFrame) -> DataFrame:
-    """Decoded events of (key, value) messages from any streaming source."""
-    return decode_messages(messages.select("key", "value"))
+    """Decoded events of (key, value) messages from any streaming source; `arrival` is kept."""
+    return decode_messages(messages.select("key", "value", *(c for c in ("arrival",) if c in messages.columns)))
 
 
 def stream_decode(lines: DataFrame) -> DataFrame:
@@ -67,149 +87,79 @@ def stream_decode(lines: DataFrame) -> DataFrame:
 
 # ---- per-run state ------------------------------------------------------------------------------------
 
-def _encoded(events: DataFrame) -> DataFrame:
-    """(run_id, stream_sequence, body): the event as JSON with float32 values widened exactly."""
+def _encoded(events: DataFrame, arrival: str | None) -> DataFrame:
+    """(run_id, stream_sequence, event_type, arrival, body): the event as JSON with float32 values widened exactly."""
     wide = F.transform("measurements", lambda m: F.struct(
         m["detection_id"].alias("detection_id"),
         *(m[c].cast("double").alias(c) for c in ("x", "y", "confidence", "uncertainty_radius"))))
     plain = [c for c in schemas.EVENTS.fieldNames() if c != "event_time_seconds"]
     body = F.to_json(F.struct(
         *plain, F.col("event_time_seconds").cast("double").alias("event_time_seconds"), wide.alias("measurements")))
-    return events.select("run_id", "stream_sequence", body.alias("body"))
+    return events.select("run_id", "stream_sequence", "event_type", F.col(arrival or "stream_sequence").alias("arrival"), body.alias("body"))
 
 
-class RunProcessor(StatefulProcessor):
-    """Takes a run's events in sequence order, once each, whatever order they arrive in.
-
-    strict   a micro-batch is taken in sequence order (arrival order ends at the shuffle); an event that
-             is not the next one is refused
-    reorder  an event ahead of a gap waits in the state store until the gap closes
+def _stateful(keyed: DataFrame, processor: StatefulProcessor, schema: str, timeout: int | None = None) -> DataFrame:
+    # The operator needs this state store; a session may have been built elsewhere.
+    keyed.sparkSession.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
+    return keyed.groupBy("run_id").transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if timeout else "None")
 
-    With `settings` each accepted event yields its track frame, else the event itself.
-    """
 
-    def __init__(self, policy: str, settings: FusionSettings | None):
-        self.policy, self.settings = policy, settings
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        text = StructType([StructField("json", StringType())])
-        self.state = handle.getValueState("run", text)
-        self.waiting = handle.getMapState("waiting", "sequence long", text)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = json.loads(self.state.get()[0]) if self.state.exists() else {}
-        life = LifecycleState(stored.get("life"))
-        book = _book(self.settings, stored.get("book")) if self.settings else None
-        held = stored.get("held", 0)
-        for chunk in self._ordered(rows):
-            out = []
-            for sequence, body in zip(chunk["stream_sequence"].tolist(), chunk["body"].tolist()):
-                if self.policy == "reorder" and sequence > life.position + 1 and not life.finished:
-                    if self.waiting.containsKey((sequence,)):
-                        out.append(_refused(key, sequence, "duplicate_event", body))
-                    else:
-                        self.waiting.updateValue((sequence,), (body,))
-                        held += 1
-                    continue
-                out.append(self._take(key, sequence, body, life, book))
-                while held and self.waiting.containsKey((life.position + 1,)):
-                    at = life.position + 1
-                    body = self.waiting.getValue((at,))[0]
-                    self.waiting.removeKey((at,))
-                    held -= 1
-                    out.append(self._take(key, at, body, life, book))
-            yield pd.DataFrame(out, columns=["run_id", "stream_sequence", "rule", "body"])
-        self.state.update((json.dumps({"life": vars(life), "held": held, "book": _packed(book)}),))
-
-    def _ordered(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Chunks whose size does not matter: strict gathers the run's micro-batch, reorder takes chunks as they come."""
-        if self.policy == "strict":
-            rows = [pd.concat(list(rows), ignore_index=True)]
-        for chunk in rows:
-            yield chunk.sort_values(["stream_sequence", "body"], kind="stable")
-
-    def _take(self, key, sequence, body, life, book):
-        event = json.loads(body)
-        rule = life.problem(event)
-        if rule:
-            return _refused(key, sequence, rule, body)
-        life.apply(event)
-        return key[0], sequence, None, body if book is None else json.dumps(
-            {**frame_of(book, event), "run_generation": event["run_generation"]})
-
-    def close(self) -> None:
-        pass
-
-
-def _refused(key, sequence, rule, body):
-    return key[0], sequence, rule, body
-
-
-def _packed(book: TrackBook | None):
-    if book is None:
-        return None
-    return {"created": book.created,
-            "live": [[i, {**vars(t), "sensors": sorted(t.sensors)}] for i, t in book.live.items()]}
-
-
-def _book(settings: FusionSettings, packed) -> TrackBook:
-    book = TrackBook(settings, packed["created"] if packed else 0)
-    for i, t in (packed or {}).get("live", ()):
-        book.live[i] = Track(**{**t, "sensors": set(t["sensors"])})
-    return book
-
-
-def _per_run(events: DataFrame, policy: str, settings: FusionSettings | None) -> DataFrame:
+def _per_run(events: DataFrame, policy: str, settings: FusionSettings | None, arrival: str | None, reach: int,
+             timeout_seconds: float | None) -> DataFrame:
     if policy not in ("strict", "reorder"):
         raise ValueError("policy must be strict or reorder")
-    # The operator needs this state store; a session may have been built elsewhere.
-    events.sparkSession.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
-    return _encoded(events).groupBy("run_id").transformWithStateInPandas(
-        RunProcessor(policy, settings), "run_id decimal(20,0), stream_sequence long, rule string, body string",
-        "Append", "None")
+    if policy == "strict" and arrival is None:
+        raise ValueError("strict judges events in source order: name the column of their position")
+    timeout = int(timeout_seconds * 1000) if timeout_seconds else None
+    return _stateful(_encoded(events, arrival).drop("event_type"), policies.RunProcessor(policy, settings, reach, timeout, arrival is not None),
+                     "run_id decimal(20,0), stream_sequence long, rule string, missing long, body string", timeout)
 
 
-def stream_validate(events: DataFrame, policy: str = "reorder") -> DataFrame:
-    """Events with `rule`: null for accepted ones, else the rule that refused them."""
-    checked = _per_run(events, policy, None)
-    return checked.select(F.from_json("body", EVENT_DDL).alias("e"), "rule").select("e.*", "rule")
+def _events_of(checked: DataFrame, *more: str) -> DataFrame:
+    """Event columns and `rule` of encoded rows; a row without an event keeps its identity."""
+    parsed = checked.withColumn("e", F.from_json("body", EVENT_DDL))
+    names = schemas.EVENTS.fieldNames()
+    return parsed.select(*(F.col(c) if c in ("run_id", "stream_sequence") else F.col(f"e.{c}").alias(c) for c in names), "rule", *more)
 
 
-def stream_fuse(events: DataFrame, settings: FusionSettings | None = None, policy: str = "reorder") -> DataFrame:
+def stream_validate(events: DataFrame, policy: str = "reorder", arrival: str | None = None, reach: int = REACH,
+                    timeout_seconds: float | None = None) -> DataFrame:
+    """Events with `rule`: null for accepted ones, else the rule that refused them; `missing` counts the events of a gap.
+
+    `arrival` names the column of an event's position in its source: line position, offset.  Without it, events of a
+    micro-batch are taken in the order of their sequence, and the finish of a run does not close a gap before it.
+    """
+    return _events_of(_per_run(events, policy, None, arrival, reach, timeout_seconds), "missing")
+
+
+def stream_fuse(events: DataFrame, settings: FusionSettings | None = None, policy: str = "reorder", arrival: str | None = None,
+                reach: int = REACH, timeout_seconds: float | None = None) -> DataFrame:
     """Track frames of the accepted events, equal to the batch frames of the same run."""
-    checked = _per_run(events, policy, settings or FusionSettings()).filter(F.col("rule").isNull())
+    checked = _per_run(events, policy, settings or FusionSettings(), arrival, reach, timeout_seconds).filter(F.col("rule").isNull())
     return checked.select(
         F.lit(1).alias("schema_version"), F.lit("GLOBAL_TRACKS").alias("event_type"), "run_id",
         F.col("stream_sequence").alias("source_sequence"), F.from_json("body", FRAME_BODY).alias("f")).select(
         "schema_version", "event_type", "run_id", "source_sequence", "f.*")
 
 
-# ---- stateless and built-in stateful operators -----------------------------------------------------------
+def stream_dedup(events: DataFrame, arrival: str | None = None) -> DataFrame:
+    """Events with `rule`: null for the first of each identity, else why the row is a repeat.  A run's identities are kept until it is complete."""
+    encoded = _encoded(events, arrival).withColumn("digest", F.xxhash64("body"))
+    return _events_of(_stateful(encoded, policies.IdentityProcessor(), "run_id decimal(20,0), stream_sequence long, rule string, body string"))
 
-def stream_dedup(events: DataFrame, time: str = "event_ts", delay: str = "10 minutes") -> DataFrame:
-    """First event of each identity while the watermark still remembers it."""
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(["run_id", "stream_sequence"])
 
+def stream_detections_over_time(events: DataFrame, arrival: str | None = None, delay: float | None = None) -> DataFrame:
+    """One-second counts per sensor of each run, empty scans included, appended when a bucket closes; late scans with rule `late`.
 
-def with_event_ts(df: DataFrame, epoch: Column, time: str = "acquisition_time_seconds") -> DataFrame:
-    """Rows with `event_ts`: the run's epoch (seconds since 1970) plus simulation seconds.
-
-    Simulation time restarts with each run; an epoch per run keeps a watermark meaningful.  The
-    epoch must be positive: a stream's first watermark is 1970, and a row at it would be late.
+    Buckets close on the run's own finish, and with `delay` once the run's clock is so many seconds past them.
     """
-    seconds = epoch.cast("double") + F.col(time).cast("double")
-    return df.withColumn("event_ts", F.timestamp_micros((seconds * 1_000_000).cast("bigint")))
-
+    narrow = events.select("run_id", "stream_sequence", F.col(arrival or "stream_sequence").alias("arrival"), "event_type", "run_generation",
+                           F.col("event_time_seconds").cast("double").alias("event_time_seconds"), "sensor_id", "measurement_count")
+    return _stateful(narrow, policies.BucketProcessor(delay), "run_id decimal(20,0), run_generation long, sensor_id int, second long,"
+                                                              "scans long, detections long, empty_scans long, rule string")
 
-def stream_detections_over_time(scans: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """One-second counts per sensor; empty scans count.  `scans` needs `event_ts`."""
-    per = scans.withWatermark("event_ts", delay).groupBy(
-        "run_id", "run_generation", "sensor_id", F.window("event_ts", "1 second").alias("w"))
-    return per.agg(
-        F.count(F.lit(1)).alias("scans"), F.sum("measurement_count").alias("detections"),
-        F.count_if(F.col("measurement_count") == 0).alias("empty_scans")).select(
-        "run_id", "run_generation", "sensor_id", F.unix_seconds("w.start").alias("second"), "scans", "detections", "empty_scans")
 
+# ---- built-in stateful operators ---------------------------------------------------------------------------
 
 def stream_sensor_state(events: DataFrame) -> DataFrame:
     """Running counters and latest scan per sensor generation (update or complete mode).
@@ -245,12 +195,19 @@ def start_batches(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def stream_record(events: DataFrame, path: str, checkpoint: str, policy: str = "reorder") -> StreamingQuery:
+def stream_record(events: DataFrame, path: str, checkpoint: str, policy: str = "reorder", arrival: str | None = None) -> StreamingQuery:
     """Record accepted live events per run; refused ones are not recorded."""
-    accepted = stream_validate(events, policy).filter(F.col("rule").isNull()).drop("rule")
+    accepted = stream_validate(events, policy, arrival).filter(F.col("rule").isNull()).drop("rule", "missing")
     return start_table(accepted, path, checkpoint, ("run_id",))
 
 
+def run_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What a checkpoint of `stream_validate` or `stream_fuse` holds of each run."""
+    spark.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
+    state = spark.read.format("statestore").option("stateVarName", "run").load(checkpoint)
+    return state.select(F.col("key.run_id").alias("run_id"), "value.*")
+
+
 def recorded_runs(recorded: DataFrame) -> DataFrame:
     """(run_id, events, complete): a recording is complete once its finish event is there."""
     return recorded.groupBy("run_id").agg(

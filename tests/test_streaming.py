@@ -1,5 +1,9 @@
 import os
+import subprocess
+import sys
+import time
 
+import pytest
 from pyspark.sql import functions as F
 from recordings import HEADER, Script, collected, events_of, harbour, relay
 
@@ -57,29 +61,105 @@ def test_shuffled_live_fusion_equals_batch(spark, tmp_path):
     assert rows(got) == rows(batch)
 
 
-def test_strict_does_not_depend_on_chunks(spark, tmp_path):
-    folder = str(tmp_path / "in")
-    pieces(folder, longer(), 9)
-    names = sorted(os.listdir(folder))
-    whole = [line for n in reversed(names) for line in open(os.path.join(folder, n)).read().splitlines()[::-1] if not line.startswith("#")]
-    seen = []
-    for size in ("3", "10000"):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-        one = str(tmp_path / f"one{size}")
-        head = longer().split("\n")[0]
-        write(one, "all.events", [head, *[x for x in whole if x != head]], 0)
-        out = str(tmp_path / f"out{size}")
-        run(live.start_table(live.stream_validate(events_stream(spark, one), "strict"), out, str(tmp_path / f"ck{size}")))
-        seen.append(sorted((r.stream_sequence, r.rule or "") for r in spark.read.parquet(out).collect()))
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert seen[0] == seen[1] and seen[0]
+def disordered(kind):
+    """Lines of a run whose sixth and seventh events are swapped, or whose tenth is lost, in arrival order."""
+    head, *lines = longer().rstrip("\n").split("\n")
+    if kind == "swapped":
+        lines[6], lines[7] = lines[7], lines[6]
+    elif kind == "lost":
+        del lines[9]
+    return [head, *lines]
+
+
+@pytest.mark.parametrize("policy, kind", [("strict", "swapped"), ("strict", "lost"), ("reorder", "swapped"), ("reorder", "lost"), ("strict", "right")])
+def test_answers_do_not_depend_on_triggers(spark, tmp_path, policy, kind):
+    lines, seen = disordered(kind), []
+    for n, size in enumerate((1000, 12, 1) if (policy, kind) == ("reorder", "lost") else (1000, 12)):
+        folder = str(tmp_path / f"in{n}")
+        for k in range(0, len(lines), size):
+            write(folder, f"p{k:03d}.events", lines[k:k + size], k)
+        checked = live.stream_validate(events_stream(spark, folder), policy, "arrival")
+        run(live.start_table(checked, str(tmp_path / f"out{n}"), str(tmp_path / f"ck{n}")))
+        seen.append(sorted((r.stream_sequence, r.rule or "", r.missing or 0) for r in spark.read.parquet(str(tmp_path / f"out{n}")).collect()))
+    assert all(found == seen[0] for found in seen)
+    rules = {rule: sum(r[1] == rule for r in seen[0]) for rule in ("", "gap", "sequence_contiguous")}
+    events = 34
+    assert rules == {("strict", "swapped"): {"": 7, "gap": 0, "sequence_contiguous": events - 7},
+                     ("strict", "lost"): {"": 9, "gap": 0, "sequence_contiguous": events - 10},
+                     ("reorder", "swapped"): {"": events, "gap": 0, "sequence_contiguous": 0},
+                     ("reorder", "lost"): {"": 9, "gap": 1, "sequence_contiguous": events - 10},
+                     ("strict", "right"): {"": events, "gap": 0, "sequence_contiguous": 0}}[policy, kind]
+
+
+def test_gap_stands_after_reach_or_silence(spark, tmp_path):
+    lines = disordered("lost")
+    write(str(tmp_path / "in"), "a.events", lines[:22], 0)
+    ahead = live.stream_validate(events_stream(spark, str(tmp_path / "in")), arrival="arrival", reach=5)
+    run(live.start_table(ahead, str(tmp_path / "out"), str(tmp_path / "ck")))
+    rows = collected(spark.read.parquet(str(tmp_path / "out")).filter("rule is not null").select("stream_sequence", "rule", "missing"), "stream_sequence")
+    assert rows[0] == (10, "gap", 1) and [r[0] for r in rows[1:]] == list(range(11, 23))
+    silent = live.stream_validate(events_stream(spark, str(tmp_path / "in")), arrival="arrival", timeout_seconds=2)
+    out = str(tmp_path / "out2")
+    query = live.start_table(silent, out, str(tmp_path / "ck2"), available_now=False)
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if os.path.isdir(out) and spark.read.schema(silent.schema).parquet(out).filter("rule = 'gap'").count():
+                break
+    finally:
+        query.stop()
+    assert collected(spark.read.parquet(out).filter("rule is not null").select("stream_sequence", "rule", "missing"), "stream_sequence") == rows
+    state = live.run_state(spark, str(tmp_path / "ck2")).first()
+    assert (state.position, state.failed, state.held) == (9, True, 0)
+
+
+def test_silence_before_the_finish_is_reported(spark, tmp_path):
+    write(str(tmp_path / "in"), "a.events", longer().split("\n")[:12], 0)
+    out = str(tmp_path / "out")
+    silent = live.stream_fuse(events_stream(spark, str(tmp_path / "in")), arrival="arrival", timeout_seconds=1)
+    checked = live.stream_validate(events_stream(spark, str(tmp_path / "in")), arrival="arrival", timeout_seconds=1)
+    assert silent.columns[0] == "schema_version"
+    query = live.start_table(checked, out, str(tmp_path / "ck"), available_now=False)
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if os.path.isdir(out) and spark.read.schema(checked.schema).parquet(out).filter("rule = 'finished'").count():
+                break
+    finally:
+        query.stop()
+    assert collected(spark.read.parquet(out).filter("rule is not null").select("stream_sequence", "rule"), "stream_sequence") == [(12, "finished")]
+
+
+def test_strict_needs_a_source_order(spark, tmp_path):
+    os.makedirs(tmp_path / "in")
+    with pytest.raises(ValueError):
+        live.stream_validate(events_stream(spark, str(tmp_path / "in")), "strict")
+
+
+def test_processors_load_outside_the_repository(tmp_path):
+    """The Python runner beside the driver has no path to the package."""
+    write(str(tmp_path / "in"), "a.events", longer().rstrip("\n").split("\n"), 0)
+    script = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import functions as F
+from sonde import build_session
+from sonde.streaming import live
+spark = build_session("outside", "local[2]", spark__sql__shuffle__partitions="1", spark__ui__enabled="false", spark__checkpoint__dir={str(tmp_path / "ckpt")!r})
+events = live.stream_decode(live.stream_lines(spark, {str(tmp_path / "in")!r})).filter(F.col("error").isNull())
+live.start_table(live.stream_fuse(events, arrival="arrival"), {str(tmp_path / "out")!r}, {str(tmp_path / "ck")!r}).awaitTermination()
+print("frames", spark.read.parquet({str(tmp_path / "out")!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "frames 34" in done.stdout, done.stderr[-2000:]
 
 
 def test_strict_refuses_and_restart_continues(spark, tmp_path):
     folder, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
     lines = harbour().rstrip("\n").split("\n")
     write(folder, "a.events", lines[:6], 0)
-    start = lambda: run(live.start_table(live.stream_validate(events_stream(spark, folder), "strict"), out, ck))
+    start = lambda: run(live.start_table(live.stream_validate(events_stream(spark, folder), "strict", "arrival"), out, ck))
     start()
     # A second start resumes from the checkpoint: state is kept, nothing is taken twice.
     write(folder, "b.events", [lines[4]] + lines[6:8] + lines[9:10], 1)
@@ -107,32 +187,52 @@ def test_recording_is_complete_only_after_finish(spark, tmp_path):
     assert state() == [(12, True)]
 
 
-def test_windows_equal_batch_buckets(spark, tmp_path):
-    folder, start = str(tmp_path / "in"), 1_700_000_000
-    text = longer()
-    pieces(folder, text, 9)
-    scans = live.with_event_ts(decode.explode_scans(events_stream(spark, folder)), F.lit(start))
-    seen = {}
-    run(live.start_batches(
-        live.stream_detections_over_time(scans, "1 hour"),
-        lambda df, n: seen.update({(r[2], r[3] - start): tuple(r)[4:] for r in df.collect()}), str(tmp_path / "ck")))
-    batch = detections_over_time(decode.explode_scans(events_of(spark, text)))
-    assert seen == {(r["sensor_id"], r["simulation_second"]): (r["scans"], r["detections"], r["empty_scans"])
-                    for r in batch.collect()}
+def test_buckets_close_on_their_own_run(spark, tmp_path):
+    """Two runs, interleaved, equal the batch buckets under any trigger; scans after the finish are late."""
+    one, two = longer().rstrip("\n").split("\n"), relay().rstrip("\n").split("\n")
+    mixed = [x for pair in zip(one[1:], two[1:] + [None] * len(one)) for x in pair if x]
+    late = next(x for x in one if x.startswith("MEASUREMENTS"))
+    counts = lambda df: collected(df.select("run_id", "run_generation", "sensor_id", "second", "scans", "detections", "empty_scans"), "run_id", "run_generation", "sensor_id", "second")
+    batch = counts(detections_over_time(decode.explode_scans(events_of(spark, longer(), relay()))).withColumnRenamed("simulation_second", "second"))
+    for n, size in enumerate((1000, 9)):
+        lines, folder = [one[0], *mixed, late], str(tmp_path / f"in{n}")
+        for k in range(0, len(lines), size):
+            write(folder, f"p{k:03d}.events", lines[k:k + size], k)
+        run(live.start_table(live.stream_detections_over_time(events_stream(spark, folder), "arrival"), str(tmp_path / f"out{n}"), str(tmp_path / f"ck{n}")))
+        rows = spark.read.parquet(str(tmp_path / f"out{n}"))
+        assert counts(rows.filter("rule is null")) == batch
+        assert [r.rule for r in rows.filter("rule is not null").collect()] == ["late"]
+
+
+def test_buckets_close_on_the_runs_clock(spark, tmp_path):
+    """With a delay, buckets are given out while the run goes on; a scan behind the clock is late."""
+    lines = longer().rstrip("\n").split("\n")
+    scans = [i for i, x in enumerate(lines) if x.startswith("MEASUREMENTS")]
+    moved = [*lines[:scans[0]], *lines[scans[1]:scans[20]], lines[scans[0]]]
+    for n, size in enumerate((1000, 4)):
+        folder = str(tmp_path / f"in{n}")
+        for k in range(0, len(moved), size):
+            write(folder, f"p{k:03d}.events", moved[k:k + size], k)
+        run(live.start_table(live.stream_detections_over_time(events_stream(spark, folder), "arrival", delay=1.0), str(tmp_path / f"out{n}"), str(tmp_path / f"ck{n}")))
+    rows = [collected(spark.read.parquet(str(tmp_path / f"out{n}")), "sensor_id", "second", "rule") for n in range(2)]
+    assert rows[0] == rows[1] and [r[-1] for r in rows[0]].count("late") == 1 and {r[3] for r in rows[0]} == {0, 1, 2}
 
 
 def test_dedup_and_independent_consumers(spark, tmp_path):
     folder = str(tmp_path / "in")
     text = longer()
     pieces(folder, text, 9)
-    write(folder, "repeat.events", text.rstrip("\n").split("\n")[5:12], 90)
-    unique = live.stream_dedup(live.with_event_ts(
-        events_stream(spark, folder), F.lit(1_700_000_000), "event_time_seconds"), delay="1 hour")
-    one = live.start_table(unique.drop("event_ts"), str(tmp_path / "one"), str(tmp_path / "ck1"))
-    two = live.start_table(events_stream(spark, folder), str(tmp_path / "two"), str(tmp_path / "ck2"))
+    lines = text.rstrip("\n").split("\n")
+    other = lines[7].replace(" 2.0", " 2.5") if " 2.0" in lines[7] else lines[7] + "0"
+    write(folder, "repeat.events", lines[5:7] + [other], 1.5)      # before the run is complete
+    write(folder, "tail.events", lines[8:10], 90)                  # after it
+    events = events_stream(spark, folder)
+    one = live.start_table(live.stream_dedup(events, "arrival"), str(tmp_path / "one"), str(tmp_path / "ck1"))
+    two = live.start_table(events, str(tmp_path / "two"), str(tmp_path / "ck2"))
     run(one), run(two)
-    assert spark.read.parquet(str(tmp_path / "one")).count() == 34
-    assert spark.read.parquet(str(tmp_path / "two")).count() == 41
+    rules = {r.rule: r["count"] for r in spark.read.parquet(str(tmp_path / "one")).groupBy("rule").count().collect()}
+    assert rules[None] == 34 and rules["late"] == 2 and rules["duplicate_event"] >= 2
+    assert spark.read.parquet(str(tmp_path / "two")).count() == sum(rules.values())
 
 
 def test_sensor_state_stream(spark, tmp_path):
