@@ -207,7 +207,7 @@ _ENCODED = "doc_id bigint, a binary, b binary, n_groups bigint, n_links bigint,
 
 
 def encode(docs: DataFrame, first: Broadcast, second: Broadcast) -> DataFrame:
-    """doc_id, the ids of both sides (binary, 4 bytes each), n_groups, n_links and groups_sha256 of each row."""
+    """doc_id, the ids of both sides (binary, 2 bytes each, or 4 in large vocabularies), n_groups, n_links and groups_sha256 of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right, own_a, own_b = machines(first.value, second.value)
         fallback, single = second.value.fallback, second.value.single()
@@ -222,7 +222,7 @@ def encode(docs: DataFrame, first: Broadcast, second: Broadcast) -> DataFrame:
                 text = text.tobytes()
                 digest = [hashlib.sha256(text[x:y - 1]).hexdigest() if y > x else "" for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                 raw = [pa.array([ids[x:y].tobytes() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary())
-                       for ids, cut in ((a.astype("<u4"), at_a), (b.astype("<u4"), at_b))]
+                       for ids, cut in ((a.astype(_kind(left.size)), at_a), (b.astype(_kind(right.size)), at_b))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], *raw, pa.array(np.diff(found.groups), pa.int64()), pa.array(np.diff(found.links), pa.int64()),
                      pa.array(digest, pa.string())], ["doc_id", "a", "b", "n_groups", "n_links", "groups_sha256"])
@@ -230,6 +230,11 @@ def encode(docs: DataFrame, first: Broadcast, second: Broadcast) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _ENCODED)
 
 
+def _kind(size: np.ndarray) -> str:
+    """How ids of a vocabulary of so many are stored."""
+    return "<u2" if len(size) <= 1 << 16 else "<u4"
+
+
 def forget() -> None:
     """A worker that goes on to count needs no machines."""
     if _cached:
@@ -241,8 +246,8 @@ def _realigned(batch: pa.RecordBatch, size_a: np.ndarray, size_b: np.ndarray) ->
     """Rows i to j of stored ids (columns a and b), aligned anew."""
     (raw_a, at_a), (raw_b, at_b) = utf8(batch.column("a")), utf8(batch.column("b"))
     for i, j in chunks(at_a, CHUNK):
-        a, b = (np.ascontiguousarray(raw[at[i]:at[j]]).view("<u4") for raw, at in ((raw_a, at_a), (raw_b, at_b)))
-        yield i, j, align(a, b, size_a, size_b, (at_a[i:j + 1] - at_a[i]) // 4)
+        a, b = (np.ascontiguousarray(raw[at[i]:at[j]]).view(_kind(size)) for raw, at, size in ((raw_a, at_a, size_a), (raw_b, at_b, size_b)))
+        yield i, j, align(a, b, size_a, size_b, (at_a[i:j + 1] - at_a[i]) // a.itemsize)
 
 
 def _cell(keys: np.ndarray) -> np.ndarray:
@@ -419,6 +424,7 @@ def align_documents(docs: DataFrame, first: Pieces, second: Pieces) -> DataFrame
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, and the ids a and b, of each row."""
     spark = docs.sparkSession
     context = spark.sparkContext
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")      # rows hold whole documents' ids
     size_a, size_b = (np.fromiter(map(len, p.bytes_of), np.int64, len(p.bytes_of)) for p in (first, second))
     encoded = stored(encode(docs, context.broadcast(first), context.broadcast(second)), "aligned")
     pairs = stored(distinct_pairs(encoded, size_a, size_b), "pairs")
@@ -454,5 +460,5 @@ def align_documents(docs: DataFrame, first: Pieces, second: Pieces) -> DataFrame
         own = hashes(k)
         rows = look_up(rows, size_a, size_b, context.broadcast(own), context.broadcast(totals(k, len(own.keys))), best)
         rows = stored(rows, "counted") if k + 1 < slices else rows
-    ids = {f"n_{side}": (F.length(side) / 4).cast("long") for side in "ab"}
+    ids = {f"n_{side}": (F.length(side) / np.dtype(_kind(size)).itemsize).cast("long") for side, size in (("a", size_a), ("b", size_b))}
     return rows.withColumns(ids).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "a", "b")
