@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sonde import schemas
 from sonde.functions.folds import gated_pairs, greedy_one_to_one
+from sonde.operators import spatial
 from sonde.operators.rules import _violations, repeated_keys, union_all
 from sonde.plans.ordered import carry, row_blocks
 
@@ -20,10 +21,11 @@ def check_gate(gate: float) -> None:
         raise ValueError("evaluation gate must be finite and positive")
 
 
-def match_frames(frames: DataFrame, truth: DataFrame, gate: float = 5.0) -> DataFrame:
+def match_frames(frames: DataFrame, truth: DataFrame, gate: float = 5.0, grid_pairs: int = spatial.GRID_PAIRS) -> DataFrame:
     """One row per evaluated frame with its matches, unmatched targets and false tracks.
 
-    The join is on the frame key, one row per side; matching is a fold inside the row.
+    The join is on the frame key, one row per side; matching is a fold inside the row.  Frames with more than
+    `grid_pairs` track and target pairs get their candidates from the grid join instead.
     """
     check_gate(gate)
     f = frames.select(*FRAME, "tracks")
@@ -31,8 +33,14 @@ def match_frames(frames: DataFrame, truth: DataFrame, gate: float = 5.0) -> Data
     steady = F.filter("tracks", lambda k: k["state"] != "tentative")
     joined = t.join(f, list(FRAME)).select(
         *FRAME, "entities", steady.alias("steady"), (F.size("tracks") - F.size(steady)).alias("tentative"))
-    matched = joined.withColumn(
-        "matches", greedy_one_to_one(gated_pairs(F.col("steady"), F.col("entities"), gate)))
+    large = F.size("steady").cast("bigint") * F.size("entities") > grid_pairs
+    inside = joined.filter(~large).withColumn("matches", greedy_one_to_one(gated_pairs(F.col("steady"), F.col("entities"), gate)))
+    crowded = joined.filter(large)
+    pairs = spatial.gated_join(crowded.select(*FRAME, F.inline("steady")).select(*FRAME, "track_id", "x", "y"),
+                               crowded.select(*FRAME, F.inline("entities")).select(*FRAME, "truth_id", "x", "y"), FRAME, gate)
+    found = crowded.join(spatial.greedy_matches(pairs, FRAME), list(FRAME), "left").withColumn(
+        "matches", F.coalesce("matches", F.array().cast(inside.schema["matches"].dataType)))
+    matched = inside.unionByName(found)
     taken_truth = F.transform("matches", lambda m: m["truth_id"])
     taken_tracks = F.transform("matches", lambda m: m["track_id"])
     return matched.select(

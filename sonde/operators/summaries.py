@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonde.plans.ordered import carry, row_blocks
+from sonde.plans.ordered import carry, depth_blocks
 
 GENERATION = ("run_id", "run_generation")
 SENSOR = (*GENERATION, "sensor_id")
@@ -68,11 +68,11 @@ def sensor_summary(events: DataFrame, scans: DataFrame) -> DataFrame:
 
 
 def scan_intervals(scans: DataFrame, block: Column | None = None) -> DataFrame:
-    """Each scan with the time since the previous scan of the same sensor generation."""
-    block = row_blocks("scan_sequence") if block is None else block  # scan sequences are dense
+    """Each scan with the time since the previous scan of the same sensor generation; sequences may be sparse."""
+    placed = depth_blocks(scans, SENSOR_GENERATION, "scan_sequence") if block is None else scans.withColumn("depth_block", block)
     time = F.col("acquisition_time_seconds")
-    previous = carry(scans, SENSOR_GENERATION, ["scan_sequence"], block, lags={"previous_time": time})
-    return previous.withColumn("interval_seconds", time - F.col("previous_time")).drop("previous_time")
+    previous = carry(placed, SENSOR_GENERATION, ["scan_sequence"], F.col("depth_block"), lags={"previous_time": time})
+    return previous.withColumn("interval_seconds", time - F.col("previous_time")).drop("previous_time", "depth_block")
 
 
 def scan_cadence(scans: DataFrame, block: Column | None = None) -> DataFrame:

@@ -12,10 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonde.plans.ordered import BLOCK_ROWS, carry, exact_percentiles, first_rows, row_blocks
+from sonde.plans.ordered import BLOCK_ROWS, carry, depth_blocks, exact_percentiles, first_rows, row_blocks
 
 KEYS = ("experiment_id",)
-BLOCK_NS = 60 * 1_000_000_000
 PERCENTILES = {"latency_p50_ms": 50, "latency_p95_ms": 95, "latency_p99_ms": 99}
 
 
@@ -98,8 +97,11 @@ def throughput(produced: DataFrame, consumed: DataFrame, keys: Sequence[str] = K
 
 
 def backlog(produced: DataFrame, consumed: DataFrame, keys: Sequence[str] = KEYS,
-            block_ns: int = BLOCK_NS) -> DataFrame:
-    """Outstanding events after every mark, in (time, produced first, sequence) order."""
+            block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Outstanding events after every mark, in (time, produced first, sequence) order.
+
+    Blocks hold about `block_rows` marks, so a minute that holds them all is no single task.
+    """
     both = _paired(produced, consumed, keys, "full")
     # An event consumed before it was produced is never outstanding; one never produced neither.
     waits = F.col("produced_ns").isNotNull() & ~F.coalesce(F.col("consumed_ns") < F.col("produced_ns"), F.lit(False))
@@ -109,8 +111,8 @@ def backlog(produced: DataFrame, consumed: DataFrame, keys: Sequence[str] = KEYS
         F.struct(F.col("consumed_ns").alias("wall_ns"), F.lit(1).alias("phase_order"), (-step).alias("delta")))).alias("m")).select(*keys, "sequence", "m.*").filter(
         F.col("wall_ns").isNotNull())
     return carry(
-        marks, list(keys), ["wall_ns", "phase_order", "sequence"], row_blocks("wall_ns", block_ns),
-        sums={"outstanding_events": F.col("delta")})
+        depth_blocks(marks, keys, "wall_ns", block_rows), list(keys), ["wall_ns", "phase_order", "sequence"], F.col("depth_block"),
+        sums={"outstanding_events": F.col("delta")}).drop("depth_block")
 
 
 def backlog_peaks(timeline: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -171,11 +173,11 @@ def trace_integrity(produced: DataFrame, consumed: DataFrame, expected: DataFram
 
 
 def transport_metrics(produced: DataFrame, consumed: DataFrame, expected: DataFrame, actual: DataFrame,
-                      block_ns: int = BLOCK_NS) -> DataFrame:
+                      block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per experiment with every delivery metric; all frames keyed by experiment_id."""
     keys = list(KEYS)
     ids = lambda df: df.select(*keys, F.col("stream_sequence").alias("sequence"))
-    timeline = backlog(produced, consumed, keys, block_ns)
+    timeline = backlog(produced, consumed, keys, block_rows)
     consumed_total = consumed.groupBy(*keys).agg(
         F.count_if(F.col("phase") == "consumed").alias("total_consumed"),
         F.coalesce(F.max(F.col("phase") == "resume"), F.lit(False)).alias("pause_observed"))
@@ -193,17 +195,46 @@ def transport_metrics(produced: DataFrame, consumed: DataFrame, expected: DataFr
 
 # ---- sensor outages ------------------------------------------------------------------------------
 
+def disjoint(outages: DataFrame) -> DataFrame:
+    """(run_id, sensor_id, start, end) of the united outages of each sensor, at float32 precision; empty ones are left out."""
+    sensor = ["run_id", "sensor_id"]
+    spans = outages.select(*sensor, F.col("start").cast("float").alias("start"), F.col("end").cast("float").alias("end")).filter(
+        "start < end").distinct()
+    blocked = depth_blocks(spans, sensor, "start")
+    reached = carry(blocked, sensor, ["start", "end"], F.col("depth_block"), prior_max={"reached": F.col("end")})
+    opens = F.when(F.col("reached").isNull() | (F.col("start") > F.col("reached")), 1).otherwise(0)
+    numbered = carry(reached, sensor, ["start", "end"], F.col("depth_block"), sums={"piece": opens})
+    return numbered.groupBy(*sensor, "piece").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("piece")
+
+
 def in_outage(scans: DataFrame, outages: DataFrame) -> DataFrame:
     """Scans with `in_outage`: time in [start, end) of their sensor's outages, at float32 precision.
 
-    outages: (run_id, sensor_id, start, end).  The equality on run and sensor carries the join;
-    the interval is a residual.  A scan may lie in several outages and still counts once.
+    outages: (run_id, sensor_id, start, end).  A sensor's scanned time is cut into as many equal bins as it has
+    outages; united outages go to each bin they touch, at most two for each on average, and scans to their own, so
+    run, sensor and bin carry an equality join.  Bins grow with time as the times do, so no pair is missed; a scan lies in one
+    united outage at most.
     """
-    spans = outages.groupBy("run_id", "sensor_id").agg(F.collect_list(F.struct(
-        F.col("start").cast("float").alias("start"), F.col("end").cast("float").alias("end"))).alias("spans"))
+    sensor = ["run_id", "sensor_id"]
     t = F.col("acquisition_time_seconds")
-    return scans.join(spans, ["run_id", "sensor_id"], "left").withColumn(
-        "in_outage", F.coalesce(F.exists("spans", lambda s: (s["start"] <= t) & (t < s["end"])), F.lit(False))).drop("spans")
+    spans = disjoint(outages)
+    first, latest = F.col("first_time"), F.col("latest_time")
+    grid = scans.groupBy(*sensor).agg(F.min(t).cast("double").alias("first_time"), F.max(t).cast("double").alias("latest_time")).join(
+        spans.groupBy(*sensor).agg(F.count(F.lit(1)).alias("outages")), sensor)
+    grid = grid.select(*sensor, "first_time", "latest_time", F.when(latest > first, (latest - first) / F.col("outages")).otherwise(F.lit(1.0)).alias("width"))
+
+    def bin_of(time: Column) -> Column:
+        inside = F.greatest(F.least(time.cast("double"), latest), first)
+        return F.floor((inside - first) / F.col("width")).cast("bigint")
+
+    binned = spans.join(grid, sensor).filter((F.col("start") <= latest) & (F.col("end") > first)).select(
+        *sensor, "start", "end", F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("end")))).alias("bin"))
+    placed = scans.join(grid, sensor, "left").withColumn("bin", bin_of(t)).drop("first_time", "latest_time", "width")
+    s, o = placed.alias("s"), binned.alias("o")
+    same = [F.col(f"s.{c}") == F.col(f"o.{c}") for c in (*sensor, "bin")]
+    within = (F.col("o.start") <= F.col("s.acquisition_time_seconds")) & (F.col("s.acquisition_time_seconds") < F.col("o.end"))
+    met = s.join(o, [*same, within], "left")
+    return met.select(*(F.col(f"s.{c}") for c in scans.columns), F.col("o.start").isNotNull().alias("in_outage"))
 
 
 def outage_violations(scans: DataFrame, outages: DataFrame) -> DataFrame:

@@ -27,6 +27,25 @@ def span_blocks(column: str, span: float) -> Column:
     return F.floor(F.col(column) / F.lit(span)).cast("bigint")
 
 
+def depth_blocks(df: DataFrame, keys: Sequence[str], column: str, rows: int = BLOCK_ROWS, name: str = "depth_block") -> DataFrame:
+    """`df` with `name`: blocks along `column` of about `rows` rows, however dense or sparse its values lie.
+
+    A group is cut into as many equal spans as it needs blocks, from its exact count, least and greatest value; each
+    span is then cut again by its own.  A minute that holds all rows of a year thus becomes many blocks, and sparse
+    numbers do not become blocks of one row.  Rows of one value stay together.  Numbers depend on the rows alone, so
+    a plan that computes them twice gets the same ones.  Keys and column must not be null.
+    """
+    v, low, high = F.col(column), F.col("__low"), F.col("__high")
+    cells = F.ceil(F.col("__n") / F.lit(rows))
+    inside = F.floor((v - low).cast("double") * cells / (high - low).cast("double"))
+    at = F.when(high > low, F.least(inside, cells - 1)).otherwise(F.lit(0)).cast("bigint")
+    out, known = df.withColumn(name, F.lit(0).cast("bigint")), [*keys, name]
+    for _ in range(2):
+        stats = out.groupBy(*known).agg(F.min(column).alias("__low"), F.max(column).alias("__high"), F.count(F.lit(1)).alias("__n"))
+        out = out.join(stats, known).select(*df.columns, (F.col(name) * F.lit(1 << 31) + at).alias(name))
+    return out
+
+
 def carry(
     df: DataFrame,
     keys: Sequence[str],

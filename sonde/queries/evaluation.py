@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sonde.operators import evaluation as M
+from sonde.operators import spatial
 from sonde.plans.ordered import row_blocks
 from sonde.queries.common import rounded
 from sonde.sources import adapters as A
@@ -56,12 +57,14 @@ def evaluation_guards(spark, d):
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
 
 
-def gated_join(spark, d):
-    from sonde.functions.folds import gated_pairs
+def points(frames, truth):
+    """Tracks and targets of frames as rows."""
+    tracks = frames.select(*M.FRAME, F.inline("tracks")).select(*M.FRAME, "track_id", "x", "y")
+    return tracks, truth.select(*M.FRAME, F.inline("entities")).select(*M.FRAME, "truth_id", "x", "y")
+
 
-    pairs = A.truth(spark, d).join(A.frames(spark, d).drop("acquisition_time"), list(M.FRAME)).select(
-        *M.FRAME, F.inline(gated_pairs(F.col("tracks"), F.col("entities"), GATE)))
-    return rounded(pairs, 6, "distance")
+def gated_join(spark, d):
+    return rounded(spatial.gated_join(*points(A.frames(spark, d), A.truth(spark, d)), M.FRAME, GATE), 6, "distance")
 
 
 def truth_frame_join(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sonde.functions import identity
-from sonde.operators import evaluation, summaries, transport
+from sonde.operators import evaluation, spatial, summaries, transport
 from sonde.plans.ordered import carry, row_blocks
 from sonde.queries.common import integers, rounded, with_ctes
 from sonde.queries.evaluation import FRAMED
@@ -131,12 +131,11 @@ def ordered_aggregate(spark, d):
 
 
 def candidate_sort(spark, d):
-    from sonde.functions.folds import gated_pairs
+    from sonde.queries.evaluation import points
 
-    pairs = A.truth(spark, d).join(A.frames(spark, d).drop("acquisition_time"), list(evaluation.FRAME)).select(
-        *evaluation.FRAME, F.array_sort(gated_pairs(F.col("tracks"), F.col("entities"), 50.0)).alias("p"))
-    return rounded(pairs.select(*evaluation.FRAME, F.posexplode("p").alias("rank", "c")).select(
-        *evaluation.FRAME, F.col("rank").cast("bigint"), "c.truth_id", "c.track_id", F.col("c.distance").alias("distance")), 6, "distance")
+    near = spatial.gated_join(*points(A.frames(spark, d), A.truth(spark, d)), evaluation.FRAME, 50.0)
+    rank = F.row_number().over(Window.partitionBy(*evaluation.FRAME).orderBy("distance", "truth_id", "track_id")) - 1
+    return rounded(near.withColumn("rank", rank.cast("bigint")), 6, "distance")
 
 
 def except_distinct(spark, d):

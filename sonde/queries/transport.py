@@ -29,17 +29,17 @@ def throughput(spark, d):
 
 
 def backlog(spark, d):
-    return O.backlog(*A.traces(spark, d), block_ns=HOUR_NS).select(
+    return O.backlog(*A.traces(spark, d), block_rows=2048).select(
         "experiment_id", "wall_ns", F.col("phase_order").cast("bigint"), "sequence", "outstanding_events")
 
 
 def backlog_peaks(spark, d):
-    return O.backlog_peaks(O.backlog(*A.traces(spark, d), block_ns=HOUR_NS))
+    return O.backlog_peaks(O.backlog(*A.traces(spark, d), block_rows=2048))
 
 
 def catchup_seconds(spark, d):
     p, c = A.traces(spark, d)
-    return rounded(O.catchup_seconds(O.backlog(p, c, block_ns=HOUR_NS), c), 6, "catchup_seconds")
+    return rounded(O.catchup_seconds(O.backlog(p, c, block_rows=2048), c), 6, "catchup_seconds")
 
 
 def clock_errors(spark, d):
@@ -59,7 +59,7 @@ def trace_integrity(spark, d):
 
 def transport_comparison(spark, d):
     p, c = A.traces(spark, d)
-    metrics = O.transport_metrics(p, c, *_ids(spark, d), block_ns=HOUR_NS)
+    metrics = O.transport_metrics(p, c, *_ids(spark, d), block_rows=2048)
     return O.transport_comparison(O.as_summaries(
         metrics, F.concat(F.lit("group "), F.col("experiment_id").cast("string")), F.lit("local")))
 

@@ -30,7 +30,7 @@ def recovery(spark):
 
 def test_backlog_and_recovery(recovery):
     p, c, expected = recovery
-    row = O.transport_metrics(p, c, expected, expected, block_ns=SECOND).first()
+    row = O.transport_metrics(p, c, expected, expected, block_rows=2).first()
     assert row["integrity_pass"] and row["trace_integrity_pass"] and row["pause_observed"]
     assert (row["max_backlog"], row["final_backlog"], row["clock_errors"], row["total_consumed"]) == (2, 0, 0, 3)
     assert row["catchup_seconds"] == pytest.approx(.2) and row["produced_events_per_second"] == pytest.approx(1)
