@@ -9,13 +9,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonde.llm.common import stored
-from sonde.llm.textvec import mix, powers
+from sonde.llm.pretoken import pieces, tokenizers_kinds
+from sonde.llm.table import Column, Table
+from sonde.llm.textvec import names
 
 END = 2
 BLOCK = 1_000_000       # ids of a block, about; a block holds whole documents
@@ -24,108 +25,81 @@ KNOWN = 1_500_000       # pieces a worker remembers; it starts anew beyond
 CHUNK = 1_000_000       # characters split at once
 SPECIAL = "<|endoftext|>"
 
-_letter, _number, _space = (regex.compile(p) for p in (r"\p{L}", r"\p{N}", r"\s"))
-_kinds = np.full(0x110000, 255, np.uint8)
 _cached: dict[str, Encoder] = {}
 
 
-def _kind(codes: np.ndarray) -> np.ndarray:
-    """0 other, 1 letter, 2 number, 3 white space."""
-    out = _kinds[codes]
-    if (out == 255).any():
-        for c in np.unique(codes[out == 255]).tolist():
-            s = chr(c)
-            _kinds[c] = 1 if _letter.match(s) else 2 if _number.match(s) else 3 if _space.match(s) else 0
-        out = _kinds[codes]
-    return out
-
-
-def pieces(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Starts of the pieces that the tokenizer merges inside of, for documents that start at `first` (the total last).
+class Encoder:
+    """Ids of texts by a tokenizer file; each distinct piece is given to the tokenizer once.
 
-    Letters, numbers and other marks form runs that take one space before them; white space before a run leaves
-    its last character to itself; an apostrophe that starts a piece takes the English endings with it.
+    Known pieces are found by a 63-bit name and then compared, character by character, with what the name stands for.
     """
-    n = len(codes)
-    kind = _kind(codes)
-    head = np.zeros(n + 2, bool)
-    head[first] = True
-    border = head.copy()
-    head[1:n] |= kind[1:] != kind[:-1]
-    start = head.copy()
-    follows = np.flatnonzero(head[1:n] & ~border[1:n] & (kind[:-1] == 3)) + 1   # a run after white space
-    start[follows - 1] = True
-    start[follows[codes[follows - 1] == 32]] = False
-    marks = np.flatnonzero(start[:n] & (codes == 39))
-    if len(marks):
-        wide = np.append(codes, np.zeros(3, codes.dtype))
-        alive = np.append(border, np.ones(3, bool))
-        a, b = wide[marks + 1], wide[marks + 2]
-        one = np.isin(a, [ord(c) for c in "stmd"]) & ~alive[marks + 1]
-        two = (np.isin(a, [ord("r"), ord("v")]) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))) & ~alive[marks + 1] & ~alive[marks + 2]
-        for at, size in ((marks[one], 1), (marks[two], 2)):
-            start[at + 1] = False
-            after = at + 1 + size
-            after = after[after < n]
-            start[after[kind[after] == 1]] = True
-    return np.flatnonzero(start[:n])
-
-
-class Encoder:
-    """Ids of texts by a tokenizer file; each distinct piece is given to the tokenizer once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.kinds = Tokenizer.from_file(path), tokenizers_kinds()
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.start, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint16)
+        self.known = Table()
+        self.start, self.size, self.ids = Column(np.int64), Column(np.int64), Column(np.uint16)
+        self.text_start, self.text_size, self.text = Column(np.int64), Column(np.int64), Column(np.uint32)
 
-    def _learn(self, keys: np.ndarray, names: list[str]) -> None:
-        if len(self.keys) + len(keys) > KNOWN:
-            self._forget()
+    def _tokenize(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces on end, and how many each has."""
         many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for i in range(0, len(names), 20_000):
-            found = [e.ids for e in many(names[i:i + 20_000], add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum()))
-            at = len(self.ids) + np.cumsum(size) - size
-            self.start, self.size, self.ids = np.append(self.start, at), np.append(self.size, size), np.append(self.ids, flat)
-        at = np.searchsorted(self.keys, keys)   # both are sorted
-        self.slots = np.insert(self.slots, at, np.arange(len(self.size) - len(keys), len(self.size)))
-        self.keys = np.insert(self.keys, at, keys)
+        found = [e.ids for i in range(0, len(names), 20_000) for e in many(names[i:i + 20_000], add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum())), size
+
+    def _learn(self, keys: np.ndarray, codes: np.ndarray, start: np.ndarray, stop: np.ndarray, names: list[str]) -> None:
+        flat, size = self._tokenize(names)
+        self.start.extend(self.ids.extend(flat) + np.cumsum(size) - size)
+        self.size.extend(size)
+        width = stop - start
+        self.text_start.extend(self.text.extend(codes[spread(start, width)]) + np.cumsum(width) - width)
+        self.text_size.extend(width)
+        self.known.enter(keys)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without an end id; no text may hold a special token's name."""
         first = np.cumsum([0, *map(len, texts)])
         whole = "".join(texts)
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        start = pieces(codes, first[:-1][np.diff(first) > 0])
+        start = pieces(codes, first[:-1][np.diff(first) > 0], self.kinds)
         stop = np.append(start[1:], len(codes))
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * powers(len(codes))[0][:len(codes)], out=sums[1:])
-        key = mix((sums[stop] - sums[start]) * powers(len(codes))[1][start])
-        unique, at, back = np.unique(key, return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
-        new = self.keys[place] != unique if len(self.keys) else np.ones(len(unique), bool)
-        if new.any():
-            if len(self.keys) + new.sum() > KNOWN:
+        key = (names(codes.view(np.uint8), 4 * start, 4 * stop) >> np.uint64(1)).astype(np.int64)
+        slot = self.known.find(key)
+        if (slot < 0).any():
+            if self.known.used + len(key) > KNOWN:
                 self._forget()
-                new[:] = True
-            a, b = start[at[new]].tolist(), stop[at[new]].tolist()
-            self._learn(unique[new], [whole[i:j] for i, j in zip(a, b)])
-            place = np.searchsorted(self.keys, unique)
-        slot = self.slots[place][back] if len(unique) else np.empty(0, np.int64)
-        size = self.size[slot]
-        ends = np.cumsum(size)
-        ids = self.ids[np.repeat(self.start[slot] - ends + size, size) + np.arange(int(size.sum()))]
-        cut = np.append(0, ends)[np.searchsorted(start, first)]
+                slot[:] = -1
+            new, at = np.unique(np.where(slot < 0, key, -1), return_index=True)
+            new, at = new[new >= 0], at[new >= 0]
+            self._learn(new, codes, start[at], stop[at], [whole[i:j] for i, j in zip(start[at].tolist(), stop[at].tolist())])
+            slot = self.known.find(key)
+        width = stop - start
+        same = self.text_size.data[slot] == width
+        flat = np.repeat(same, width)
+        equal = codes[flat] == self.text.data[spread(self.text_start.data[slot[same]], width[same])]
+        same[np.repeat(np.flatnonzero(same), width[same])[~equal]] = False
+        size, at, source = self.size.data[slot], self.start.data[slot], self.ids.data
+        if not same.all():      # two pieces of one name: the unknown one goes to the tokenizer by itself
+            odd = np.flatnonzero(~same)
+            more, many = self._tokenize([whole[i:j] for i, j in zip(start[odd].tolist(), stop[odd].tolist())])
+            size[odd], at[odd] = many, len(source) + np.cumsum(many) - many
+            source = np.append(source, more)
+        ids = source[spread(at, size)]
+        cut = np.append(0, np.cumsum(size))[np.searchsorted(start, first)]
         return [ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions start[i] .. start[i] + size[i] - 1 of all i on end."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def encoder(path: str) -> Encoder:
     if path not in _cached:
         _cached[path] = Encoder(path)

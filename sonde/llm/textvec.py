@@ -1,10 +1,13 @@
-"""Vectorised text helpers: whole Arrow batches as bytes, word fingerprints, k-word shingles.
+"""Vectorised text helpers: whole Arrow batches as bytes, word names, k-word shingles.
 
-Fingerprints are 64 bits: a polynomial over random byte values, finished by a mixing step.
+Names of words are 64 bits: eight bytes at a time go through a mixing step that is no sum or product of the
+bytes, and long words through BLAKE2.  (A polynomial modulo 2^64 gives some different words one name, whatever
+its base.)
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -13,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20
+LONG = 256               # bytes of a long word
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _powers = np.ones(1, np.uint64)
@@ -47,6 +51,26 @@ def sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit names of the strings data[start:end]."""
+    size = end - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    name = mix(size.astype(np.uint64) * np.uint64(_BASE) + np.uint64(1))
+    left, at = np.flatnonzero(size <= LONG), 0
+    while len(left):
+        rest = size[left] - at
+        part = eight[start[left] + at]
+        short = np.flatnonzero(rest < 8)
+        part[short] &= (np.uint64(1) << (8 * rest[short]).astype(np.uint64)) - np.uint64(1)
+        name[left] = mix(name[left] ^ part) * np.uint64(_BASE)
+        left, at = left[rest > 8], at + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        name[i] = int.from_bytes(hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
+    return name
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -86,9 +110,7 @@ def words(data: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> Words:
     cut[ends] = True
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
     end = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
-    total = sums(data)
-    marks = mix((total[end] - total[start]) * powers(len(data))[1][start])
-    return Words(marks, start, end, np.searchsorted(start, ends))
+    return Words(names(data, start, end), start, end, np.searchsorted(start, ends))
 
 
 def grams(marks: np.ndarray, k: int) -> np.ndarray:
