@@ -264,31 +264,36 @@ def analysis_violations(runs: DataFrame, sensors: DataFrame, ground_truth: DataF
     own = events.join(runs.select("run_id"), "run_id", "left_semi")
     return rules.union_all([
         *(rules.analytical_identity(t, events) for t in inputs), *(rules.analytical_nulls(t) for t in inputs),
-        *(rules.analytical_finite(t) for t in inputs), rules.metadata_row(runs),
+        *(rules.analytical_finite(t) for t in inputs), rules.metadata_row(runs), rules.metadata_absent(runs, sensors, ground_truth, frames),
         rules.sensor_metadata(runs, sensors, own), rules.frames_match_events(frames, own),
         rules.complete_generation(frames, runs), rules.truth_grid(runs, ground_truth)])
 
 
 def publish_analysis(spark: SparkSession, root: str, runs: DataFrame, sensors: DataFrame, ground_truth: DataFrame,
                      frames: DataFrame, gate: float = 5.0) -> DataFrame:
-    """Publish truth, tracks and metrics of clean runs; returns (run_id, status).
+    """Publish truth, tracks and metrics of clean runs; returns (run_id, status, error), one row for each run of the inputs.
 
-    The same artifacts again are `unchanged`, different ones for a published run are refused.
+    Each run is a transaction of its own: `created`, `unchanged` (the same artifacts are published), or `refused` with
+    the first rule it breaks, or because other artifacts of it are published.  A refused run holds no other back.
+    Rows become visible by their run's manifest row, written last.
     """
     from sonde.operators import evaluation, tracking
 
     clean = tables.open_dataset(spark, root)
-    bad = analysis_violations(runs, sensors, ground_truth, frames, clean["events"]).limit(1).collect()
-    if bad:
-        raise ValueError(f"{bad[0]['rule']}: run {bad[0]['run_id']} {bad[0]['detail'] or ''}".rstrip())
-    digests = inputs_digest({"runs": runs, "sensors": sensors, "ground_truth": ground_truth, "frames": frames}, gate)
+    inputs = {"runs": runs, "sensors": sensors, "ground_truth": ground_truth, "frames": frames}
+    first = F.min(F.struct("rule", F.coalesce("detail", F.lit("")).alias("detail"))).alias("first")
+    faults = analysis_violations(runs, sensors, ground_truth, frames, clean["events"]).groupBy("run_id").agg(first).select(
+        "run_id", F.rtrim(F.concat_ws(": ", "first.rule", "first.detail")).alias("fault"))
     source = tables.published(spark, root).select("run_id", F.col("normalized_sha256").alias("source_sha256"))
     before = _frozen(spark, tables.published(spark, root, "analysis_manifest", schemas.ANALYSIS_MANIFEST).select(
         "run_id", F.col("inputs_sha256").alias("stored")), "analysis-manifest")
-    state = _frozen(spark, digests.join(source, "run_id").join(before, "run_id", "left"), "analysis-state")
-    if not state.filter(F.col("stored") != F.col("inputs_sha256")).isEmpty():
-        raise ValueError("other artifacts of this run are published; they cannot be replaced")
-    fresh = state.filter(F.col("stored").isNull())
+    same = lambda df: [F.col("d.run_id").eqNullSafe(df["run_id"])]
+    state = inputs_digest(inputs, gate).alias("d").join(faults, same(faults), "left").join(source, same(source), "left").join(before, same(before), "left")
+    other, known = F.col("stored") != F.col("inputs_sha256"), F.col("stored").isNotNull()
+    error = (F.when(F.col("fault").isNotNull(), F.col("fault")).when(F.col("source_sha256").isNull(), "no published clean run")
+             .when(other, "other artifacts of this run are published; they cannot be replaced"))
+    state = _frozen(spark, state.select("d.run_id", "inputs_sha256", "source_sha256", error.alias("error"), known.alias("known")), "analysis-state")
+    fresh = state.filter(F.col("error").isNull() & ~F.col("known"))
     keep = lambda df: df.join(fresh.select("run_id"), "run_id", "left_semi")
     truth = evaluation.truth_at_scans(keep(frames), keep(ground_truth))
     metrics = evaluation.run_metrics(keep(frames), truth, gate, tracking.fusion_config(frames))
@@ -299,7 +304,8 @@ def publish_analysis(spark: SparkSession, root: str, runs: DataFrame, sensors: D
     fresh.select(
         "run_id", F.lit(schemas.SCHEMA_VERSION).alias("schema_version"), "source_sha256", "inputs_sha256",
         F.lit(batch).alias("batch")).write.mode("append").parquet(f"{root}/analysis_manifest")
-    return state.select("run_id", F.when(F.col("stored").isNull(), "created").otherwise("unchanged").alias("status"))
+    status = F.when(F.col("error").isNotNull(), "refused").when(F.col("known"), "unchanged").otherwise("created")
+    return state.select("run_id", status.alias("status"), "error")
 
 
 def inputs_digest(inputs: dict[str, DataFrame], gate: float) -> DataFrame:

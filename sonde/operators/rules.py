@@ -320,6 +320,13 @@ def metadata_row(runs: DataFrame) -> DataFrame:
     return repeated.unionByName(_violations(wrong, "metadata_row"))
 
 
+def metadata_absent(runs: DataFrame, *others: DataFrame) -> DataFrame:
+    """Runs that other artifacts speak of but that have no metadata row."""
+    named = reduce(lambda a, b: a.unionAll(b), (t.select(F.col("run_id").cast("decimal(20,0)").alias("run_id")).distinct() for t in others)).distinct()
+    lost = named.filter(F.col("run_id").isNotNull()).join(runs.select(F.col("run_id").cast("decimal(20,0)").alias("run_id")), "run_id", "left_anti")
+    return _violations(lost.withColumn("detail", F.lit("no metadata row")), "metadata_row")
+
+
 def sensor_metadata(runs: DataFrame, sensors: DataFrame, events: DataFrame) -> DataFrame:
     """Sensor count and identities against the metadata; (id, seed) against the recording."""
     counted = sensors.groupBy("run_id", "sensor_id").agg(F.count(F.lit(1)).alias("n")).groupBy("run_id").agg(

@@ -13,7 +13,7 @@ from sonde.operators import decode, ingest, rules, summaries
 from sonde.queries.common import integers, rounded, with_ctes
 from sonde.session import scratch_dir
 from sonde.sources import adapters as A
-from sonde.sources import recordings, sinks, tables
+from sonde.sources import archive, recordings, sinks, tables
 
 
 def _lines(spark, d):
@@ -88,9 +88,18 @@ def read_inbox(spark, d):
 
 
 def archive_raw(spark, d):
-    files = recordings.archive_raw(spark, _inbox(spark, d), "*.txt")
+    """Each recording archived, twice, and restored: its bytes against the file's, and the chunks its second copy added."""
+    inbox, store = _inbox(spark, d), scratch_dir(spark, "archive")
+    recordings.archive_raw(spark, inbox, "*.txt").write.parquet(scratch_dir(spark, "archive-identity"))
+    archive.archive_bytes(spark, inbox, store, "*.txt")
+    chunks = spark.read.parquet(f"{store}/chunks").count()
+    archive.archive_bytes(spark, inbox, store, "*.txt")
+    added = spark.read.parquet(f"{store}/chunks").count() - chunks
+    source = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(inbox).select(F.col("path").alias("source"), F.sha2("content", 256).alias("digest"))
+    back = archive.contents(archive.restore(spark, store)).select("source", F.sha2("content", 256).alias("restored"))
     run = F.regexp_extract("source", "name=([0-9]+)", 1).cast("bigint").alias("run_id")
-    return files.select(run, F.length("recording_sha256").cast("bigint").alias("digest_length"))
+    return source.join(back, "source", "left").groupBy(run).agg(
+        F.count(F.lit(1)).alias("copies"), F.bool_and(F.col("digest").eqNullSafe(F.col("restored"))).alias("same_bytes")).withColumn("added", F.lit(added).cast("bigint"))
 
 
 def ingest_recordings(spark, d):
@@ -307,7 +316,7 @@ ORACLES = {
     "read_recordings": f"""WITH {RECORDED}
     SELECT run_id, count(*) + 1 AS lines, count(*) + 1 AS last_line, count(*) AS numbered FROM recorded GROUP BY run_id""",
     "read_inbox": f"WITH {RECORDED} SELECT DISTINCT run_id, true AS filled FROM raw",
-    "archive_raw": f"WITH {RECORDED} SELECT DISTINCT run_id, CAST(64 AS BIGINT) AS digest_length FROM raw",
+    "archive_raw": f"WITH {RECORDED} SELECT DISTINCT run_id, CAST(2 AS BIGINT) AS copies, true AS same_bytes, CAST(0 AS BIGINT) AS added FROM raw",
     "ingest_recordings": f"""WITH {RECORDED} {_COUNTS} GROUP BY run_id HAVING count(*) = 206""",
     "quality_report": f"""WITH {RECORDED} SELECT run_id, 'passed' AS status, 'complete' AS stage, count(*) AS source_events,
       CAST(sum(n) AS BIGINT) AS clean_measurements, CAST(0 AS BIGINT) AS duplicates_removed FROM recorded GROUP BY run_id

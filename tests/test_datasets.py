@@ -51,17 +51,18 @@ def published(spark, tmp_path_factory):
 def test_publish_query_and_refuse(spark, published):
     root, frames = published
     runs, sensors, truth = artifacts(spark)
+    broken = truth.filter("not (target_id = 2 and timestamp = 2)")
+    publish = lambda *a, **k: [(int(r.run_id), r.status, (r.error or "").split(":")[0]) for r in ingest.publish_analysis(spark, root, *a, **k).collect()]
+    assert publish(runs, sensors, broken, frames) == [(9, "refused", "truth_grid")]
+    assert publish(runs.limit(0), sensors, truth, frames)[0][1] == "refused"
+    assert "metadata_row" in rule_names(ingest.analysis_violations(runs.limit(0), sensors, truth, frames, tables.open_dataset(spark, root)["events"]))
     with pytest.raises(ValueError, match="no analytical"):
         tables.open_analysis(spark, root)
-    broken = truth.filter("not (target_id = 2 and timestamp = 2)")
-    with pytest.raises(ValueError, match="truth_grid"):
-        ingest.publish_analysis(spark, root, runs, sensors, broken, frames)
-    assert [r["status"] for r in ingest.publish_analysis(spark, root, runs, sensors, truth, frames).collect()] == ["created"]
-    assert [r["status"] for r in ingest.publish_analysis(spark, root, runs, sensors, truth, frames).collect()] == ["unchanged"]
-    with pytest.raises(ValueError, match="different analytical artifacts"):
-        ingest.publish_analysis(spark, root, runs, sensors, truth.withColumn("vx", F.col("vx") + 1), frames)
-    with pytest.raises(ValueError, match="different analytical artifacts"):
-        ingest.publish_analysis(spark, root, runs, sensors, truth, frames, gate=6)
+    assert publish(runs, sensors, truth, frames) == [(9, "created", "")]
+    assert publish(runs, sensors, truth, frames) == [(9, "unchanged", "")]
+    refused = [(9, "refused", "other artifacts of this run are published; they cannot be replaced")]
+    assert publish(runs, sensors, truth.withColumn("vx", F.col("vx") + 1), frames) == refused
+    assert publish(runs, sensors, truth, frames, gate=6) == refused
     views = tables.open_analysis(spark, root)
     row = analysis_summary(views["runs"], views["run_metrics"]).first()
     # 17 ticks, one without scans; two targets.
@@ -75,6 +76,26 @@ def test_publish_query_and_refuse(spark, published):
     assert spark.sql("SELECT count(DISTINCT track_id) FROM track_samples").first()[0] == 2
 
 
+def test_a_broken_run_holds_no_other_back(spark, tmp_path):
+    """Three runs, one with damaged truth: two are published; mended, the third follows and the others stay as they are."""
+    (tmp_path / "in").mkdir()
+    for run in (9, 10, 11):
+        (tmp_path / "in" / f"{run}.events").write_text(procedural(run))
+    root = str(tmp_path / "root")
+    assert ingest.ingest(spark, str(tmp_path / "in"), root).totals["new_runs"] == 3
+    sinks.write_frames(tracking.fuse_tracks(events_of(spark, *(procedural(n) for n in (9, 10, 11))), split=False), str(tmp_path / "frames"))
+    frames = tables.read_track_frames(spark, str(tmp_path / "frames")).drop("source", "line_no")
+    three = [artifacts(spark, n) for n in (9, 10, 11)]
+    runs, sensors, truth = (a.unionAll(b).unionAll(c) for a, b, c in zip(*three))
+    damaged = truth.withColumn("x", F.when((F.col("run_id") == 10) & (F.col("timestamp") == 1), F.lit(float("nan"))).otherwise(F.col("x")))
+    publish = lambda t: {int(r.run_id): (r.status, (r.error or "").split(":")[0]) for r in ingest.publish_analysis(spark, root, runs, sensors, t, frames).collect()}
+    assert publish(damaged) == {9: ("created", ""), 10: ("refused", "analytical_finite"), 11: ("created", "")}
+    views = tables.open_analysis(spark, root)
+    assert {int(r.run_id) for r in views["run_metrics"].select("run_id").collect()} == {9, 11}
+    assert publish(truth) == {9: ("unchanged", ""), 10: ("created", ""), 11: ("unchanged", "")}
+    assert tables.open_analysis(spark, root)["run_metrics"].count() == 3
+
+
 def test_artifact_rules_name_the_damage(spark, published):
     root, frames = published
     runs, sensors, truth = artifacts(spark)
@@ -89,7 +110,7 @@ def test_artifact_rules_name_the_damage(spark, published):
     assert names(runs, sensors, truth.withColumn("x", F.lit(float("nan"))), frames, events) == {"analytical_finite"}
     assert names(runs, sensors, truth.withColumn("motion_type", F.lit(None).cast("string")), frames, events) == {"analytical_nulls"}
     other = truth.withColumn("run_id", F.lit(77).cast("decimal(20,0)"))
-    assert names(runs, sensors, other, frames, events) == {"analytical_identity", "truth_grid"}
+    assert names(runs, sensors, other, frames, events) == {"analytical_identity", "metadata_row", "truth_grid"}    # run 77 has no metadata row
     assert names(runs.withColumn("duration_seconds", F.lit(3)), sensors, truth, frames, events) == {"complete_generation", "truth_grid"}
 
 

@@ -194,3 +194,34 @@ def test_reconciliation_rules(spark):
     assert rules.reconcile_event_scan(ev, sc.filter("stream_sequence <> 7")).count() == 1
     doubled = rule_names(rules.table_constraints({"events": ev.union(ev), "scans": sc, "measurements": me}))
     assert doubled == {"table_keys"}
+
+
+def test_archived_bytes_come_back(spark, tmp_path, monkeypatch):
+    """Every spelling of a file is restored byte for byte after the inbox is empty; equal chunks are stored once."""
+    from sonde.sources import archive
+
+    monkeypatch.setattr(archive, "LINES", 3)
+    text = "".join(f"line {n} é\n" for n in range(20)).encode()
+    files = {"a": text, "b": text, "crlf": text.replace(b"\n", b"\r\n"), "cr": text.replace(b"\n", b"\r"), "open": text[:-1], "empty": b"", "lf": b"\n",
+             "bom": b"\xef\xbb\xbf" + text, "bom_open": b"\xef\xbb\xbfx", "raw": b"\xff\xfe\x00\n\x80\n\n", "one": b"x", "blank": b"\n\n\n\nx\n"}
+    inbox, store = tmp_path / "in", str(tmp_path / "store")
+    inbox.mkdir()
+    for name, data in files.items():
+        (inbox / f"{name}.events").write_bytes(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    try:
+        archive.archive_bytes(spark, str(inbox), store)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    chunks = spark.read.parquet(f"{store}/chunks")
+    assert chunks.count() == chunks.select("chunk").distinct().count()
+    for name in files:
+        (inbox / f"{name}.events").unlink()
+    (inbox / "again.events").write_bytes(text)
+    before = chunks.count()
+    archive.archive_bytes(spark, str(inbox), store)
+    assert spark.read.parquet(f"{store}/chunks").count() == before
+    back = {os.path.basename(r.source)[:-7]: bytes(r.content) for r in archive.contents(archive.restore(spark, store)).collect()}
+    assert back == {**files, "again": text}
+    parts = archive.restore(spark, store).filter("source_name = 'a.events'").orderBy("position").collect()
+    assert len(parts) == 7 and b"".join(bytes(p.body) for p in parts) == text
