@@ -459,28 +459,30 @@ def paired_seeds(statistics: DataFrame, plan: DataFrame) -> DataFrame:
 def result_invariants(points: DataFrame) -> DataFrame:
     """Display contract of study points (panel, chart, value, runs, valid, mean, stddev, minimum, maximum).
 
-    Null statistics are read as 0, as the display export writes them.
+    With `experiment_id` each experiment is a study of its own.  Null statistics are read as 0, as the display export
+    writes them.
     """
+    study = [c for c in ("experiment_id",) if c in points.columns]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     mean, sd, low, high = zero("mean"), zero("stddev"), zero("minimum"), zero("maximum")
-    seeds = points.agg(F.max("runs").alias("seeds"))
-    per_chart = Window.partitionBy("panel", "chart").orderBy("value")  # at most five levels per chart
+    seeds = points.groupBy(*study).agg(F.max("runs").alias("seeds"))
+    per_chart = Window.partitionBy(*study, "panel", "chart").orderBy("value")  # at most five levels per chart
     ranked = points.withColumn("rank", F.row_number().over(per_chart)).withColumn(
         "same_before", F.lag("value").over(per_chart) == F.col("value"))
     bad = (~(G.finite(F.col("value")) & G.finite(mean) & G.finite(sd) & G.finite(low) & G.finite(high))
            | (F.col("value") < 0) | (sd < 0) | (low < 0) | (mean < low) | (mean > high)
            | (F.col("valid") < 0) | (F.col("valid") > F.col("runs")) | F.coalesce("same_before", F.lit(False)))
-    label = F.concat_ws(" ", "panel", "chart")
-    # The expected run count is the study's seeds per condition, one row: a bounded broadcast.
-    unequal = points.join(F.broadcast(seeds), points["runs"] != seeds["seeds"])
-    xs = ranked.groupBy("panel", "rank").agg(
+    label, place = F.concat_ws(" ", *study, "panel", "chart"), F.concat_ws(" ", *study, "panel")
+    # The expected run count is the study's seeds per condition: one row for each study.
+    unequal = (points.join(seeds, study) if study else points.withColumn("one", F.lit(1)).join(F.broadcast(seeds.withColumn("one", F.lit(1))), "one")).filter(F.col("runs") != F.col("seeds"))
+    xs = ranked.groupBy(*study, "panel", "rank").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"))
-    charts = ranked.groupBy("panel").agg(
+    charts = ranked.groupBy(*study, "panel").agg(
         F.count_if(F.col("rank") == 1).alias("charts"), F.max("rank").alias("levels"))
     shape = charts.filter(~F.col("charts").between(2, 3) | ~F.col("levels").between(2, 5))
-    misaligned = xs.join(charts, "panel").filter((F.col("lo") != F.col("hi")) | (F.col("n") != F.col("charts")))
+    misaligned = xs.join(charts, [*study, "panel"]).filter((F.col("lo") != F.col("hi")) | (F.col("n") != F.col("charts")))
     return union_all([
         _violations(ranked.filter(bad), "result_invariants", label),
         _violations(unequal, "result_invariants", label),
-        _violations(shape, "result_invariants", F.col("panel")),
-        _violations(misaligned, "result_invariants", F.col("panel"))])
+        _violations(shape, "result_invariants", place),
+        _violations(misaligned, "result_invariants", place)])
