@@ -30,7 +30,8 @@ def _runs(spark, d):
 
 
 def analytical_identity(spark, d):
-    clean = A.table(spark, d, "orders").select((F.col("o_custkey") + 1).alias("run_id"))
+    """Runs count as clean if their customer has a finished urgent order."""
+    clean = A.table(spark, d, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select((F.col("o_custkey") + 1).alias("run_id"))
     found = R.analytical_identity(_runs(spark, d)[0], clean)
     return found.select(F.col("run_id").cast("bigint"))
 
@@ -126,7 +127,8 @@ ORACLES = {
       CASE WHEN g <> resets OR t < CASE WHEN position = 1 OR kind = 'RUN_RESET' THEN 0 ELSE pt END THEN 'frame_generation_time' END,
       CASE WHEN n <> u THEN 'track_identity' END, CASE WHEN position = 1 AND final <> 'RUN_FINISHED' THEN 'frame_finish' END]) AS rule FROM s)
     SELECT rule, count(*) AS violations FROM v WHERE rule IS NOT NULL GROUP BY rule""",
-    "analytical_identity": "SELECT c_custkey + 1 AS run_id FROM customer ANTI JOIN orders ON o_custkey = c_custkey",
+    "analytical_identity": """SELECT c_custkey + 1 AS run_id FROM customer WHERE c_custkey NOT IN (
+      SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')""",
     "analytical_nulls": """SELECT c_custkey + 1 AS run_id FROM customer
     ANTI JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON o_custkey = c_custkey""",
     "analytical_finite": "SELECT c_custkey + 1 AS run_id FROM customer WHERE (c_custkey + 1) % 7 IN (2, 4)",

@@ -69,8 +69,10 @@ def full_join(spark, d):
 
 
 def anti_join(spark, d):
+    """Customers without a finished urgent order."""
     who = A.table(spark, d, "customer").select("c_custkey")
-    return who.join(A.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    done = A.table(spark, d, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+    return who.join(done, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 def semi_join(spark, d):
@@ -108,7 +110,9 @@ def order_violations(spark, d):
 
 
 def clock_steps(spark, d):
+    """Every 50th mark is set back by eleven days."""
     produced, _ = A.traces(spark, d)
+    produced = produced.withColumn("wall_ns", F.col("wall_ns") - F.when(F.col("arrival") % 50 == 7, F.lit(10**15)).otherwise(F.lit(0)))
     lagged = carry(produced, ["experiment_id"], ["arrival"], row_blocks("arrival", 8192), lags={"before": F.col("wall_ns")})
     return lagged.filter(F.col("wall_ns") < F.col("before")).select("experiment_id", "arrival", "wall_ns", "before")
 
@@ -202,7 +206,8 @@ ORACLES = {
     FROM started LEFT JOIN scans USING (run_id, run_generation, sensor_id) WHERE run_id = 1 GROUP BY ALL"""),
     "full_join": """SELECT key, orders, size FROM (SELECT o_custkey AS key, count(*) AS orders FROM orders GROUP BY 1)
     FULL JOIN (SELECT p_partkey AS key, CAST(p_size AS BIGINT) AS size FROM part) USING (key)""",
-    "anti_join": "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey",
+    "anti_join": """SELECT c_custkey FROM customer WHERE c_custkey NOT IN (
+      SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')""",
     "semi_join": """SELECT c_custkey, c_mktsegment FROM customer
     SEMI JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON c_custkey = o_custkey""",
     "tick_product": """WITH runs AS (SELECT n_nationkey AS run_id, count(*) % 5 + 1 AS targets FROM nation
@@ -219,8 +224,9 @@ ORACLES = {
     "order_violations": f"""WITH {DELIVERED}, o AS (SELECT run_id, stream_sequence,
       lag(stream_sequence) OVER (PARTITION BY run_id ORDER BY arrival) AS previous FROM ranked WHERE occurrence = 1)
     SELECT * FROM o WHERE stream_sequence <= previous""",
-    "clock_steps": f"""WITH {TRACES}, o AS (SELECT experiment_id, arrival, wall_ns,
-      lag(wall_ns) OVER (PARTITION BY experiment_id ORDER BY arrival) AS before FROM produced)
+    "clock_steps": f"""WITH {TRACES}, moved AS (SELECT experiment_id, arrival,
+      CASE WHEN arrival % 50 = 7 THEN wall_ns - 1000000000000000 ELSE wall_ns END AS wall_ns FROM produced),
+    o AS (SELECT experiment_id, arrival, wall_ns, lag(wall_ns) OVER (PARTITION BY experiment_id ORDER BY arrival) AS before FROM moved)
     SELECT * FROM o WHERE wall_ns < before""",
     "trace_join": f"""WITH {TRACES}
     SELECT experiment_id, count(*) AS pairs, CAST(sum(sequence) AS BIGINT) AS sequences FROM latencies GROUP BY experiment_id""",

@@ -99,15 +99,15 @@ RAGGED = """ragged AS (
     CASE WHEN o_orderstatus = 'P' THEN o_custkey % 7 + 1 ELSE o_custkey // 100 + 1 END AS run_id,
     o_orderkey // 500 AS run_generation, o_orderkey // 3 + 1 AS stream_sequence,
     CAST(dayofyear(o_orderdate) - 3 AS FLOAT) AS t,
-    CASE WHEN o_orderkey % 50 = 7 THEN 'RUN_RESET' WHEN o_orderpriority = '1-URGENT' THEN 'SENSOR_STARTED'
+    CASE WHEN o_orderkey % 50 = 7 THEN 'RUN_RESET' WHEN o_orderkey % 211 = 5 AND o_custkey % 3 = 0 THEN 'RUN_FINISHED' WHEN o_orderpriority = '1-URGENT' THEN 'SENSOR_STARTED'
       WHEN o_orderpriority = '5-LOW' THEN 'SENSOR_RESET' ELSE 'MEASUREMENTS' END AS kind,
     o_custkey % 10 + 1 AS raw_sensor, month(o_orderdate) // 5 AS raw_generation, o_orderkey // 40 % 9 AS raw_scan,
     CAST(trunc(o_totalprice) AS BIGINT) % 4 AS raw_count, CAST(o_totalprice / 1000 - 5 AS FLOAT) AS raw_value
   FROM orders),
 typed AS (
   SELECT source, line_no, run_id, run_generation, stream_sequence, t, kind,
-    CASE WHEN kind <> 'RUN_RESET' THEN raw_sensor END AS sensor_id,
-    CASE WHEN kind <> 'RUN_RESET' THEN raw_generation END AS sensor_generation,
+    CASE WHEN kind NOT IN ('RUN_RESET', 'RUN_FINISHED') THEN raw_sensor END AS sensor_id,
+    CASE WHEN kind NOT IN ('RUN_RESET', 'RUN_FINISHED') THEN raw_generation END AS sensor_generation,
     CASE WHEN kind = 'MEASUREMENTS' THEN raw_scan END AS scan_sequence,
     CASE WHEN kind = 'MEASUREMENTS' THEN raw_count ELSE 0 END AS n,
     CASE WHEN kind = 'MEASUREMENTS' THEN raw_value END AS v,
@@ -123,6 +123,7 @@ s1 AS (SELECT *, row_number() OVER w AS position, count(*) FILTER (WHERE kind =
     coalesce(max(line_no) FILTER (WHERE kind = 'RUN_RESET') OVER p, 0) AS reset_line,
     max(line_no) FILTER (WHERE kind IN ('MEASUREMENTS', 'SENSOR_RESET')) OVER p AS scan_line,
     max(line_no) FILTER (WHERE kind = 'SENSOR_STARTED') OVER p AS start_line,
+    max(line_no) FILTER (WHERE kind = 'RUN_FINISHED') OVER p AS finish_line,
     arg_max(sensor_id, line_no) FILTER (WHERE kind = 'SENSOR_STARTED') OVER p AS start_sensor
   FROM unique_events
   WINDOW w AS (PARTITION BY source ORDER BY line_no),
@@ -150,9 +151,11 @@ checks AS (SELECT source, stream_sequence, unnest([
     CASE WHEN kind = 'MEASUREMENTS' AND starts > 0 AND sensor_generation <> sensor_resets THEN 'scan_generation' END,
     CASE WHEN kind = 'MEASUREMENTS' AND scan_sequence <> scan_count THEN 'scan_sequence_contiguous' END,
     CASE WHEN kind = 'MEASUREMENTS' AND n > 0 AND NOT (n = 1 AND detection_count - n + 1 = n) THEN 'detection_identity' END,
-    CASE WHEN n > 0 AND (v < 0 OR v / 400 > 1) THEN 'measurement_values' END]) AS rule FROM s2),
+    CASE WHEN n > 0 AND (v < 0 OR v / 400 > 1) THEN 'measurement_values' END,
+    CASE WHEN finish_line IS NOT NULL THEN 'nothing_after_finish' END]) AS rule FROM s2),
 found AS (SELECT source, stream_sequence, rule FROM checks WHERE rule IS NOT NULL
-  UNION ALL SELECT DISTINCT source, CAST(NULL AS BIGINT), 'finished' FROM unique_events)"""
+  UNION ALL SELECT source, CAST(NULL AS BIGINT), 'finished' FROM unique_events GROUP BY source
+    HAVING count(*) FILTER (WHERE kind = 'RUN_FINISHED') = 0)"""
 
 ORACLES = {
     "validate_events": f"""WITH {RAGGED}, conflicts AS (SELECT source, run_id, stream_sequence,

@@ -115,6 +115,7 @@ def ragged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns, so gaps, late times, unknown sensors and stale generations all occur.
     """
     kind = (F.when(F.col("o_orderkey") % 50 == 7, "RUN_RESET")
+            .when((F.col("o_orderkey") % 211 == 5) & (F.col("o_custkey") % 3 == 0), "RUN_FINISHED")
             .when(F.col("o_orderpriority") == "1-URGENT", "SENSOR_STARTED")
             .when(F.col("o_orderpriority") == "5-LOW", "SENSOR_RESET")
             .otherwise("MEASUREMENTS"))
@@ -133,7 +134,7 @@ def ragged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_totalprice").cast("bigint") % 4).alias("raw_count"),
         (F.col("o_totalprice") / 1000 - 5).cast("float").alias("raw_value"),
     )
-    on_sensor = F.col("event_type") != "RUN_RESET"
+    on_sensor = ~F.col("event_type").isin("RUN_RESET", "RUN_FINISHED")
     on_scan = F.col("event_type") == "MEASUREMENTS"
     detection = F.struct(
         F.col("raw_count").cast("int").alias("detection_id"),
