@@ -187,19 +187,22 @@ individual AS (SELECT c_mktsegment || '-' || (c_custkey // 4096) AS experiment_i
     CAST(c_nationkey % 3 AS DOUBLE) AS noise, 0.5::DOUBLE + (c_nationkey % 2) / 4 AS reliability,
     CASE WHEN finished > 0 THEN top / 1000 END AS position_rmse, coalesce(urgent, 0) AS missed, coalesce(orders, 0) AS targets,
     coalesce(finished, 0) AS switches, coalesce(orders, 0) * 3 AS yield FROM customer LEFT JOIN per_run ON o_custkey = c_custkey),
-run_vals AS (SELECT experiment_id, run_id, seed, noise, reliability, unnest([
-    {'metric': 'position_rmse', 'value': position_rmse}, {'metric': 'missed_target_samples', 'value': missed::DOUBLE},
-    {'metric': 'missed_target_fraction', 'value': missed::DOUBLE / nullif(targets, 0)},
-    {'metric': 'id_switches', 'value': switches::DOUBLE}, {'metric': 'measurement_count', 'value': yield::DOUBLE},
-    {'metric': 'measurements_per_second', 'value': yield / 20::DOUBLE},
-    {'metric': 'measurements_per_scan', 'value': yield / (targets + 1)::DOUBLE},
-    {'metric': 'false_track_samples', 'value': (missed * 2)::DOUBLE}, {'metric': 'unique_false_tracks', 'value': missed::DOUBLE}],
-    recursive := true) FROM individual),
-stats AS (SELECT experiment_id, 'study ' || experiment_id AS experiment_name, noise, reliability, metric, count(*) AS run_count,
-    count(DISTINCT seed) AS seed_count, array_to_string(list(seed ORDER BY seed), ',') AS seeds, count(value) AS valid_count,
-    count(*) - count(value) AS null_count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stddev,
-    round(min(value), 6) AS minimum, round(max(value), 6) AS maximum FROM run_vals
-  GROUP BY experiment_id, noise, reliability, metric)"""
+""" + "run_vals AS (" + " UNION ALL ".join(
+    f"SELECT experiment_id, run_id, seed, noise, reliability, '{metric}' AS metric, CAST({value} AS DOUBLE) AS value FROM individual"
+    for metric, value in {
+        "position_rmse": "position_rmse", "missed_target_samples": "missed", "missed_target_fraction": "missed / nullif(targets, 0)",
+        "id_switches": "switches", "measurement_count": "yield", "measurements_per_second": "yield / 20.0",
+        "measurements_per_scan": "yield / (targets + 1)", "false_track_samples": "missed * 2", "unique_false_tracks": "missed"}.items()) + """),
+sums AS (SELECT experiment_id, noise, reliability, metric, sum(value) / count(value) AS centre, count(value) AS valid_count,
+    sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END)::BIGINT AS null_count, sum(1)::BIGINT AS run_count FROM run_vals GROUP BY ALL),
+spread AS (SELECT experiment_id, noise, reliability, metric, sum((value - centre) * (value - centre)) AS squares, list_sort(list(DISTINCT seed)) AS kept,
+    string_agg(seed::VARCHAR, ',' ORDER BY seed) AS seeds, list_sort(list(value) FILTER (WHERE value IS NOT NULL)) AS ordered
+  FROM run_vals JOIN sums USING (experiment_id, noise, reliability, metric) GROUP BY ALL),
+stats AS (SELECT experiment_id, 'study ' || experiment_id AS experiment_name, noise, reliability, metric, run_count,
+    len(kept)::BIGINT AS seed_count, seeds, valid_count, null_count, round(centre, 6) AS mean,
+    CASE WHEN valid_count > 1 THEN round(sqrt(squares / (valid_count - 1)), 6) END AS stddev,
+    round(ordered[1], 6) AS minimum, round(ordered[-1], 6) AS maximum
+  FROM sums JOIN spread USING (experiment_id, noise, reliability, metric))"""
 MAP = "analyses(analysis, metric) AS (VALUES " + ", ".join(
     f"('{a}', '{m}')" for a, names in schemas.ANALYSIS_METRICS.items() for m in names) + ")"
 UNITS = "units(metric, unit) AS (VALUES " + ", ".join(f"('{m}', '{u}')" for m, u, _ in schemas.METRICS) + ")"
