@@ -8,7 +8,6 @@ from sonde.operators import transport as O
 from sonde.queries.common import integers, rounded, with_ctes
 from sonde.sources import adapters as A
 
-HOUR_NS = 3600 * 1_000_000_000
 
 
 def delivery_integrity(spark, d):
