@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonde.functions.folds import length
+
 EDGE = float(1 << 52)     # cells beyond are one: doubles no longer tell neighbours apart there
 SLACK = 1e-9              # cells are wider than the gate by so much, against rounding
 GRID_PAIRS = 10_000       # frames with more pairs are matched by the grid, others inside their row
@@ -31,7 +33,7 @@ def gated_join(tracks: DataFrame, targets: DataFrame, keys: Sequence[str], gate:
     around = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     b = targets.filter(sound[0] & sound[1]).select(*keys, "truth_id", "x", "y", F.inline(around)).select(
         *keys, "truth_id", "x", "y", (cell(F.col("x"), gate) + F.col("dx")).alias("cx"), (cell(F.col("y"), gate) + F.col("dy")).alias("cy"))
-    distance = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
+    distance = length(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
     near = a.join(b, [*keys, "cx", "cy"]).withColumn("distance", distance).filter(F.col("distance") <= gate)
     return near.select(*keys, "distance", "truth_id", "track_id")
 

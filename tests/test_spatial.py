@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from recordings import collected
 
+from sonde.functions.folds import gated_pairs
 from sonde.operators import evaluation, spatial, transport
 from sonde.plans.ordered import carry, depth_blocks
 
@@ -107,3 +108,24 @@ def test_dense_minute_becomes_many_blocks(spark):
     assert max(sizes) <= 150 and len(sizes) > 150
     sparse = spark.range(1000).select(F.lit("a").alias("k"), (F.col("id") * 10**13).alias("t"))
     assert depth_blocks(sparse, ["k"], "t", 100).select("depth_block").distinct().count() <= 21
+
+
+def test_pairs_at_one_distance_go_by_identity(spark):
+    """Two pairs whose sums of squares are one double: hypot set them apart in the last bit, against truth id and track id."""
+    a = spark.createDataFrame([(1, 26, 18.77, 74.0), (1, 18, 17.08, 45.0)], POINT.format("track_id", "bigint"))
+    b = spark.createDataFrame([(1, "15", 37.62, 96.0), (1, "12", 35.93, 67.0)], POINT.format("truth_id", "string"))
+    near = {(r.truth_id, r.track_id): r.distance for r in spatial.gated_join(a, b, KEYS, 50.0).collect()}
+    squares = lambda dx, dy: math.sqrt(dx * dx + dy * dy)
+    assert near["15", 26] == squares(37.62 - 18.77, 96.0 - 74.0) and near["12", 18] == squares(35.93 - 17.08, 67.0 - 45.0)
+    assert near["15", 26] == near["12", 18]
+
+
+def test_distances_inside_a_row_equal_the_grid(spark):
+    rng = random.Random(4)
+    cents = lambda: round(rng.uniform(0, 90), 2)
+    tracks, targets = [(i, "confirmed", cents(), cents()) for i in range(90)], [(f"g{i}", cents(), cents()) for i in range(90)]
+    row = spark.createDataFrame([(tracks, targets)], "tracks array<struct<track_id:bigint,state:string,x:double,y:double>>,"
+                                                     "entities array<struct<truth_id:string,x:double,y:double>>")
+    got = row.select(F.inline(gated_pairs(F.col("tracks"), F.col("entities"), 50.0))).collect()
+    want = {(g, i): math.sqrt((gx - x) * (gx - x) + (gy - y) * (gy - y)) for i, _, x, y in tracks for g, gx, gy in targets}
+    assert {(r.truth_id, r.track_id): r.distance for r in got} == {k: v for k, v in want.items() if v <= 50.0}
