@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from sonde import schemas
 from sonde.functions import grammar as G
+from sonde.plans.ordered import settle
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -67,15 +68,15 @@ def parse_layout(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = F.col("t")
     number = lambda i: F.when(G.token(t, i).rlike(G.FLOAT.replace("^-?", "^[-+]?")), G.token(t, i).try_cast("double"))
     names = ("x", "y", "heading_degrees", "fov_degrees", "range")
-    parsed = body.select("*", G.tokens(F.col("line")).alias("t")).select(
-        "source", "line_no", "line", (F.size("t") == 7).alias("complete"),
-        G.integer(G.token(t, 0)).alias("generation"), G.integer(G.token(t, 1), "int", signed=True).alias("sensor_id"),
-        *(number(i).alias(n) for i, n in enumerate(names, 2)))
+    # Each line is split and parsed once: filters on parsed columns would carry copies of the parsing below them.
+    split = settle(body.select("source", "line_no", "line"), t=G.tokens(F.col("line")))
+    parsed = settle(split, complete=F.size("t") == 7, generation=G.integer(G.token(t, 0)),
+                    sensor_id=G.integer(G.token(t, 1), "int", signed=True), **{n: number(i) for i, n in enumerate(names, 2)}).drop("t")
     valid = (
         F.col("complete") & F.col("generation").isNotNull() & F.col("sensor_id").isNotNull()
         & G.finite(F.col("heading_degrees")) & (F.abs("x") <= 1e12) & (F.abs("y") <= 1e12)
         & (F.col("range") > 0) & (F.col("range") <= 1e12) & (F.col("fov_degrees") > 0) & (F.col("fov_degrees") <= 360))
-    checked = parsed.withColumn("valid", F.coalesce(valid, F.lit(False)))
+    checked = settle(parsed, valid=F.coalesce(valid, F.lit(False)))
     key = ["source", "generation", "sensor_id"]
     first = checked.filter("valid").groupBy(*key).agg(F.min("line_no").alias("first_line"))
     marked = checked.join(first, key, "left")

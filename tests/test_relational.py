@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sonde.operators import rules
+from sonde.sources import tables
 
 
 def test_anti_join_reads_every_order(spark, tmp_path):
@@ -23,3 +24,13 @@ def test_truth_grid_broadcasts_no_ticks(spark):
         (1, "missing"), (1, "missing"), (1, "unexpected"), (1, "unexpected")]
     assert found.count() == 6
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_layout_lines_are_split_once_a_pass(spark):
+    """Two passes over the lines, for the sensors and for their first lines: none holds a second copy of the parsing."""
+    lines = spark.createDataFrame([("a", 2, "0 1 0 0 0 360 150"), ("a", 3, "0 1 0 0 0 360 150"), ("a", 4, "0 2 0 0 0 360 -1")],
+                                  "source string, line_no bigint, line string")
+    good, bad = tables.parse_layout(lines.repartition(2))
+    assert good.count() == 1 and sorted((r.line_no, r.error) for r in bad.collect()) == [
+        (3, "duplicate sensor layout"), (4, "invalid sensor layout")]
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
