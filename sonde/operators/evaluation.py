@@ -11,7 +11,7 @@ from sonde import schemas
 from sonde.functions.folds import gated_pairs, greedy_one_to_one
 from sonde.operators import spatial
 from sonde.operators.rules import _violations, repeated_keys, union_all
-from sonde.plans.ordered import carry, row_blocks
+from sonde.plans.ordered import carry, row_blocks, settle
 
 FRAME = ("run_id", "run_generation", "source_sequence")
 
@@ -34,19 +34,24 @@ def match_frames(frames: DataFrame, truth: DataFrame, gate: float = 5.0, grid_pa
     joined = t.join(f, list(FRAME)).select(
         *FRAME, "entities", steady.alias("steady"), (F.size("tracks") - F.size(steady)).alias("tentative"))
     large = F.size("steady").cast("bigint") * F.size("entities") > grid_pairs
-    inside = joined.filter(~large).withColumn("matches", greedy_one_to_one(gated_pairs(F.col("steady"), F.col("entities"), gate)))
+    inside = settle(joined.filter(~large), matches=greedy_one_to_one(gated_pairs(F.col("steady"), F.col("entities"), gate)))
     crowded = joined.filter(large)
     pairs = spatial.gated_join(crowded.select(*FRAME, F.inline("steady")).select(*FRAME, "track_id", "x", "y"),
                                crowded.select(*FRAME, F.inline("entities")).select(*FRAME, "truth_id", "x", "y"), FRAME, gate)
     found = crowded.join(spatial.greedy_matches(pairs, FRAME), list(FRAME), "left").withColumn(
         "matches", F.coalesce("matches", F.array().cast(inside.schema["matches"].dataType)))
     matched = inside.unionByName(found)
-    taken_truth = F.transform("matches", lambda m: m["truth_id"])
-    taken_tracks = F.transform("matches", lambda m: m["track_id"])
     return matched.select(
         *FRAME, "matches", "tentative", F.size("entities").alias("targets"), F.size("steady").alias("tracks"),
-        F.array_except(F.transform("entities", lambda e: e["truth_id"]), taken_truth).alias("missed"),
-        F.array_except(F.transform("steady", lambda k: k["track_id"]), taken_tracks).alias("false_tracks"))
+        _others("entities", "truth_id").alias("missed"), _others("steady", "track_id").alias("false_tracks"))
+
+
+def _others(rows: str, name: str) -> Column:
+    """Ids of a frame's rows that no match holds, as often as they stand there."""
+    ids, taken = F.col(rows)[name], F.col("matches")[name]
+    left = F.array_except(ids, taken)
+    repeated = F.filter(ids, lambda i: i.isNull() | F.coalesce(F.array_contains(left, i), F.lit(False)))
+    return F.when(F.size(F.array_distinct(ids)) == F.size(ids), left).otherwise(repeated)
 
 
 def match_truth(matched: DataFrame) -> DataFrame:
@@ -93,7 +98,7 @@ def run_metrics(frames: DataFrame, truth: DataFrame, gate: float = 5.0, config:
     add = lambda array: F.aggregate(array, F.lit(0.0), lambda a, d: a + d)
     per_frame = matched.select(
         "run_id", "targets", "tentative", F.size("matches").alias("n"), F.size("missed").alias("missed"),
-        (F.col("tracks") - F.size("matches")).alias("spurious"),
+        F.size("false_tracks").alias("spurious"),
         add(distances).alias("error"), add(F.transform(distances, lambda d: d * d)).alias("squared"))
     n = F.sum("n")
     totals = per_frame.groupBy("run_id").agg(

@@ -65,3 +65,20 @@ def test_fold_equals_sequential_greedy(spark):
     df = spark.createDataFrame(rows, "n int, pairs array<struct<distance:double,truth_id:string,track_id:bigint>>")
     for n, pairs, got in df.select("n", "pairs", greedy_one_to_one(F.col("pairs")).alias("g")).collect():
         assert [tuple(g) for g in got] == brute([tuple(p) for p in pairs])
+
+
+def test_repeated_ids_stay_missed_and_false(spark):
+    """Rows whose id comes twice in a frame: each stays missed or false unless a match holds its id, in lists and in counts."""
+    track = "array<struct<track_id:bigint,state:string,x:double,y:double>>"
+    frames = spark.createDataFrame(
+        [(1, 0, 1, [(1, "confirmed", 0., 0.), (1, "confirmed", 0., 0.), (2, "confirmed", 90., 0.), (2, "confirmed", 90., 0.)])],
+        f"run_id bigint, run_generation bigint, source_sequence bigint, tracks {track}")
+    truth = spark.createDataFrame(
+        [(1, 0, 1, [("A", 0., 0.), ("A", 0., 0.), ("B", -90., 0.), ("B", -90., 0.)])],
+        "run_id bigint, run_generation bigint, source_sequence bigint, entities array<struct<truth_id:string,x:double,y:double>>")
+    for limit in (10_000, 1):
+        matched = M.match_frames(frames, truth, 5.0, limit)
+        assert [r.truth_id for r in M.missed_targets(matched).collect()] == ["B", "B"]
+        assert [r.track_id for r in M.false_tracks(matched).collect()] == [2, 2]
+    row = M.run_metrics(frames, truth, 5.0).first()
+    assert (row["matched_samples"], row["false_track_samples"], row["unique_false_tracks"]) == (1, 2, 1)
