@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from recordings import HEADER, Script, buoy, collected, edited, events_of, f32, harbour, lines_of, rule_names, without
 
 from sonde.operators import decode, ingest, rules, summaries
-from sonde.sources import recordings, tables
+from sonde.sources import recordings, sinks, tables
 
 
 def write(folder, name, text):
@@ -103,6 +103,25 @@ def test_line_numbers_survive_file_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_short_recordings_are_read_once_and_not_shuffled(spark, tmp_path):
+    """Files of one split get their line numbers while they are read; only longer ones are counted by split and joined."""
+    lines = spark.createDataFrame([(f"s{k}", n, f"line {n}") for k in range(7) for n in range(1, 400 if k == 3 else 40)],
+                                  "source string, line_no bigint, line string")
+    path = str(tmp_path / "in")
+    sinks.write_recordings(lines, path, ".events")
+    assert sorted(os.listdir(path)) == [f"name=s{k}.events" for k in range(7)]
+    name = F.regexp_extract("source", r"name=(\w+)", 1).alias("source")
+    for least in ("1000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", least)
+        try:
+            found = recordings.read_recordings(spark, path)
+            assert collected(found.select(name, "line_no", "line"), "source", "line_no") == collected(lines, "source", "line_no")
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = found._jdf.queryExecution().optimizedPlan().children().head().toString()
+    assert "Join" not in whole and "Aggregate" not in whole and "Window" not in whole
+
+
 def test_ingest_end_to_end(spark, tmp_path):
     inbox, root = str(tmp_path / "inbox"), str(tmp_path / "data")
     write(inbox, "one.events", harbour())
