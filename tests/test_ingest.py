@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from recordings import HEADER, Script, buoy, collected, edited, events_of, f32, harbour, lines_of, rule_names, without
 
 from sonde.operators import decode, ingest, rules, summaries
+from sonde.session import LISTING
 from sonde.sources import recordings, sinks, tables
 
 
@@ -244,3 +245,20 @@ def test_archived_bytes_come_back(spark, tmp_path, monkeypatch):
     assert back == {**files, "again": text}
     parts = archive.restore(spark, store).filter("source_name = 'a.events'").orderBy("position").collect()
     assert len(parts) == 7 and b"".join(bytes(p.body) for p in parts) == text
+
+
+def test_many_runs_are_listed_by_few_tasks(spark, tmp_path):
+    """Opening a dataset of 40 runs starts no task for each of its folders."""
+    inbox, root, tracker = str(tmp_path / "in"), str(tmp_path / "data"), spark.sparkContext.statusTracker()
+    for run in range(1, 41):
+        write(inbox, f"{run}.events", buoy(run))
+    assert ingest.ingest(spark, inbox, root).totals["new_runs"] == 40
+    spark.conf.unset(LISTING)
+    spark.sparkContext.setJobGroup("listing", "")
+    try:
+        views = tables.open_dataset(spark, root, verify=False)
+        tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setJobGroup("other", "")
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism < 40
+    assert views["events"].select("run_id").distinct().count() == 40
