@@ -22,7 +22,7 @@ def validate_events(spark, d):
 def _one_rule(rule):
     def query(spark, d):
         events = R.dedup_events(A.ragged_events(spark, d))
-        found = R.lifecycle_violations(events, block_rows=2048).filter(F.col("rule") == rule)
+        found = R.lifecycle_violations(events, block_rows=2048, only=(rule,))
         return found.groupBy("source").agg(
             F.count(F.lit(1)).alias("violations"), F.min("stream_sequence").alias("first_sequence"),
             F.max("stream_sequence").alias("last_sequence"))

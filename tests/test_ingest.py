@@ -81,6 +81,23 @@ def test_every_rule_finds_its_defect(spark):
     assert all(problems(spark, *("\n".join(rows[:n]) + "\n" for n in range(2, 17))))
 
 
+def test_one_rule_computes_no_state_of_others(spark):
+    """Each rule alone finds what it finds among all, with no more shuffles than its own state needs."""
+    from functools import reduce
+
+    text = harbour()
+    texts = [edited(text, event, tokens) for _, event, tokens in EDITS] + [without(text, 16), text + "SENSOR_RESET 311 1 17 0.75 4 1\n"]
+    events = rules.dedup_events(decode.accepted(decode.decode_events(lines_of(spark, *texts)))).localCheckpoint()
+    every = rules.lifecycle_violations(events, 4)
+    alone = {rule: rules.lifecycle_violations(events, 4, (rule,)) for rule in rules.LIFECYCLE_RULES}
+    key = ("source", "stream_sequence", "rule", "detail")
+    got = collected(reduce(lambda a, b: a.unionByName(b), alone.values()).select(*key), *key)
+    assert got == collected(every.select(*key), *key) and {r[2] for r in got} == set(rules.LIFECYCLE_RULES)
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert all(shuffles(alone[r]) == 0 for r in rules.ROW_RULES)
+    assert all(shuffles(alone[r]) < shuffles(every) / 2 for r in (*rules.RUN_RULES, *rules.SENSOR_RULES, *rules.LIFE_RULES, "finished"))
+
+
 def test_duplicates_are_removed_and_digest_is_spelling_free(spark):
     text = harbour()
     respelled = text + edited(text, 6, {10: "18.50"}).split("\n")[6] + "\n" + text.split("\n")[16] + "\n"
