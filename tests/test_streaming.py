@@ -10,7 +10,7 @@ from recordings import HEADER, Script, collected, events_of, harbour, relay
 from sonde.operators import decode, tracking
 from sonde.operators.summaries import detections_over_time
 from sonde.sources import sinks
-from sonde.streaming import live
+from sonde.streaming import live, policies
 
 
 def write(folder, name, lines, age):
@@ -262,3 +262,57 @@ def test_messages_check_envelope_and_key(spark, tmp_path):
     topic = spark.readStream.schema("key binary, value binary").parquet(str(tmp_path / "topic"))
     run(live.start_table(live.stream_messages(topic), str(tmp_path / "out"), str(tmp_path / "ck")))
     assert spark.read.parquet(str(tmp_path / "out")).filter("error is null").count() == 16
+
+
+def test_events_that_wait_within_a_batch_touch_no_state():
+    """Of 100 events from back to front only those that still wait when their batch ends are written, one call each."""
+    import json
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    class Kept(dict):
+        calls = 0
+
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            return self["value"]
+
+        def update(self, value):
+            self["value"] = value
+
+        def updateValue(self, k, value):  # noqa: N802
+            self[k], self.calls = value, self.calls + 1
+
+        def removeKey(self, k):  # noqa: N802
+            del self[k]
+            self.calls += 1
+
+        def containsKey(self, k):  # noqa: N802
+            self.calls += 1
+            return k in self
+
+        def getValue(self, k):  # noqa: N802
+            return self[k]
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    def event(n):
+        kind = "RUN_STARTED" if n == 1 else "SENSOR_STARTED"
+        return json.dumps({"event_type": kind, "run_id": 1, "run_generation": 0, "stream_sequence": n, "event_time_seconds": 0.0,
+                           "sensor_id": n if n > 1 else None, "sensor_generation": 0 if n > 1 else None, "seed": 1 if n > 1 else None})
+
+    states = {name: Kept() for name in ("run", "sensors", "waiting", "tracks")}
+    processor = policies.RunProcessor("reorder", None, 10_000, None, True)
+    processor.init(SimpleNamespace(getValueState=lambda n, _: states[n], getMapState=lambda n, *_: states[n]))
+    taken = []
+    for batch, waiting in ((range(100, 50, -1), 50), (range(50, 1, -1), 99), ([1], 0)):
+        rows = pd.DataFrame({"arrival": range(len(batch)), "stream_sequence": list(batch), "body": [event(n) for n in batch]})
+        for out in processor.handleInputRows((1,), iter([rows]), None):
+            taken += out["stream_sequence"].tolist()
+            assert out["rule"].isna().all()
+        assert len(states["waiting"]) == waiting
+    assert taken == list(range(1, 101)) and states["waiting"].calls == 99 + 99      # each written once and removed once
