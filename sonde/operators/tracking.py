@@ -10,18 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sonde import schemas
-from sonde.functions.trackbook import FusionSettings, TrackBook, frame_of
+from sonde.functions.trackbook import FusionSettings, TrackBook
 from sonde.plans.ordered import BLOCK_ROWS, carry, row_blocks
 from sonde.session import scratch_dir
 
 TRAIL_POINTS = 32  # fixed value: length of a displayed trail
+GIVE = 100_000      # tracks of frames given out at once
 _INPUT = ("run_id", "run_generation", "segment", "stream_sequence", "event_time_seconds", "event_type", "sensor_id",
           "sensor_generation", "scan_sequence", "measurements")
 _SEGMENT = ("run_id", "run_generation", "segment")
@@ -38,46 +41,172 @@ def _fold_schema(run_type: T.DataType) -> T.StructType:
         T.StructField("retired", T.ArrayType(schemas.RETIRED)), T.StructField("left", T.ArrayType(T.LongType()))])
 
 
-def segment_events(events: DataFrame, settings: FusionSettings, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(run_id, run_generation, stream_sequence, segment): quiet-gap segments per generation."""
+def segment_events(events: DataFrame, settings: FusionSettings, block_rows: int = BLOCK_ROWS, least: int = 1) -> DataFrame:
+    """(run_id, run_generation, stream_sequence, segment): quiet-gap segments per generation, numbered in order.
+
+    Segments that start within the same `least` sequence numbers are one, so that short stretches cost no fold each.
+    """
     key = ["run_id", "run_generation"]
     time = F.col("event_time_seconds").cast("double")
     narrow = events.select(
         *key, "stream_sequence", time.alias("t"),
         F.when(F.size("measurements") > 0, time).alias("detected"))
     block = row_blocks("stream_sequence", block_rows)
-    seen = carry(narrow, key, ["stream_sequence"], block,
-                 prior_max={"last_detection": F.col("detected")}, lags={"previous_t": F.col("t")})
+    seen = carry(narrow, key, ["stream_sequence"], block, prior_max={"last_detection": F.col("detected")},
+                 lags={"previous_t": F.col("t"), "previous": F.col("stream_sequence")})
     quiet = F.lit(float(settings.quiet_after))
     breaks = ((F.col("t") - F.col("last_detection") >= quiet)
               & (F.col("previous_t") - F.col("last_detection") < quiet))
-    marked = seen.select(*key, "stream_sequence", F.when(breaks, 1).otherwise(0).cast("bigint").alias("breaks"))
-    return carry(marked, key, ["stream_sequence"], block, sums={"segment": F.col("breaks")}).drop("breaks")
+    starts = F.when(breaks | F.col("previous").isNull(), row_blocks("stream_sequence", least))
+    marked = seen.select(*key, "stream_sequence", starts.alias("starts"))
+    placed = carry(marked, key, ["stream_sequence"], block, prior_max={"earlier": F.col("starts")})
+    return placed.select(*key, "stream_sequence", F.greatest("starts", "earlier").alias("segment"))
+
+
+class _FrameColumns:
+    """Frames of consecutive events, as flat columns.
+
+    A track changes only when a detection is assigned to it.  Each state is kept once; a frame names the states of
+    its tracks, and where they stand at its time is computed for all frames at once.
+    """
+
+    def __init__(self, book: TrackBook | None):
+        self.states, self.shown, self.live, self.opens, self.created = [], [], [], [], []
+        self.assigned, self.retired, self.gone = [], [], []
+        if book is not None:
+            self._keep(book, book.live)
+
+    def _keep(self, book: TrackBook, ids) -> None:
+        for i in ids:
+            t = book.live[i]
+            t.version = len(self.states)
+            self.states.append((i, t.x, t.y, t.vx, t.vy, t.seen, t.hits, t.times, sorted(t.sensors)))
+
+    def add(self, opens: bool, book: TrackBook, retired: list[tuple[int, str]], assigned: list[int]) -> None:
+        self._keep(book, assigned)
+        self.shown += [t.version for t in book.live.values()]
+        self.live.append(len(book.live))
+        self.opens.append(opens)
+        self.created.append(book.created)
+        self.assigned += assigned
+        self.retired += retired
+        self.gone.append(len(retired))
+
+    def _tracks(self, times: np.ndarray, settings: FusionSettings, kind: pa.DataType) -> pa.Array:
+        i, x, y, vx, vy, seen, hits, seen_times, sensors = list(zip(*self.states)) or [()] * 9
+        at = np.array(self.shown, np.int64)
+        take = lambda values, dtype: np.array(values, dtype)[at]
+        vx, vy, seen, seen_times = take(vx, float), take(vy, float), take(seen, float), take(seen_times, np.int64)
+        ahead = np.repeat(times, self.live) - seen
+        state = np.where(seen_times < settings.confirmation_times, 0, np.where(ahead > settings.coast_after, 1, 2))
+        return _rows(self.live, [
+            take(i, np.int64), pa.array(["tentative", "coasting", "confirmed"]).take(pa.array(state)), take(x, float) + vx * ahead,
+            take(y, float) + vy * ahead, vx, vy, seen, take(hits, np.int64), seen_times,
+            pa.array(sensors, kind.value_type.field("sensors").type).take(pa.array(at))], kind)
+
+    def batch(self, events: pa.RecordBatch, settings: FusionSettings, schema: pa.Schema) -> pa.RecordBatch:
+        """With the columns of the events that the frames belong to."""
+        counts, (detections, *_) = _detections(events)
+        at = pa.array(np.repeat(np.arange(events.num_rows), counts))
+        times = _typed(events["event_time_seconds"], pa.float64())
+        return _batch({
+            **{c: events[c] for c in _SEGMENT}, "source_sequence": events["stream_sequence"], "acquisition_time": times,
+            "source_type": events["event_type"], "opens": self.opens, "created": self.created,
+            "tracks": self._tracks(times.to_numpy(), settings, schema.field("tracks").type),
+            "associations": _rows(counts, [*(events[c].take(at) for c in ("sensor_id", "sensor_generation", "scan_sequence")), detections,
+                                           self.assigned], schema.field("associations").type),
+            "retired": _rows(self.gone, list(zip(*self.retired)) or [(), ()], schema.field("retired").type)}, events.num_rows, schema)
+
+
+def _typed(values, kind: pa.DataType) -> pa.Array:
+    if isinstance(values, pa.Array):
+        return values if values.type == kind else values.cast(kind)
+    return pa.array(values, kind)
+
+
+def _batch(columns: dict, n: int, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [_typed(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _lists(sizes, values: pa.Array, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values, type=kind)
+
+
+def _rows(sizes, columns: list, kind: pa.DataType) -> pa.Array:
+    """Lists of rows from their flat columns."""
+    row = kind.value_type
+    fields = [row.field(i) for i in range(row.num_fields)]
+    return _lists(sizes, pa.StructArray.from_arrays([_typed(c, f.type) for c, f in zip(columns, fields)], fields=fields), kind)
+
+
+def _detections(events: pa.RecordBatch) -> tuple[np.ndarray, tuple[pa.Array, pa.Array, pa.Array]]:
+    """How many detections each event has, and their flat ids and coordinates."""
+    lists = events["measurements"]
+    rows = lists.flatten()
+    flat = dict(zip((rows.type.field(i).name for i in range(rows.type.num_fields)), rows.flatten()))
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return counts, (flat["detection_id"], flat["x"], flat["y"])
+
+
+def _opens(rows: pa.RecordBatch, keys: tuple[str, ...], before: pa.RecordBatch | None) -> np.ndarray:
+    """Whether each row's key differs from that of the row ahead of it; null keys are equal."""
+    out = np.zeros(rows.num_rows, bool)
+    out[0] = before is None
+    for k in keys:
+        now = rows[k]
+        ahead = pa.concat_arrays([now[:1] if before is None else before[k], now[:-1]])
+        differ = pc.or_(pc.fill_null(pc.not_equal(ahead, now), False), pc.xor(ahead.is_null(), now.is_null()))
+        out |= differ.to_numpy(zero_copy_only=False)
+    return out
 
 
 def _fold(events: DataFrame, settings: FusionSettings, keys: tuple[str, ...]) -> DataFrame:
-    """Frames of each group, then one row with the group's last state; groups stream in batches."""
+    """Frames of each group, and one row with the group's last state; a task streams its groups one after the other."""
     schema = _fold_schema(events.schema["run_id"].dataType)
     arrow = to_arrow_schema(schema)
 
+    def tails(rows: pa.RecordBatch, books: list[TrackBook]) -> pa.RecordBatch:
+        return _batch({**{k: rows[k] for k in _SEGMENT}, "created": [b.created for b in books], "left": [list(b.live) for b in books]},
+                      rows.num_rows, arrow)
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, first, last = TrackBook(settings), True, None
-        for batch in batches:
-            rows = []
-            for event in batch.to_pylist():
-                frame = frame_of(book, event)
-                rows.append({**{k: event[k] for k in _SEGMENT}, "source_sequence": event["stream_sequence"],
-                             "opens": first, "created": book.created, "left": None, **frame})
-                first, last = False, event
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-        if last is not None:
-            tail = {**{k: last[k] for k in _SEGMENT}, "created": book.created, "left": list(book.live)}
-            yield pa.RecordBatch.from_pylist([tail], schema=arrow)
+        book = before = None
+        for events in batches:
+            if not events.num_rows:
+                continue
+            opens = _opens(events, keys, before)
+            if opens[0] and before is not None:
+                yield tails(before, [book])
+            counts, flat = _detections(events)
+            stop = np.cumsum(counts)
+            ids, xs, ys = (c.to_pylist() for c in flat)
+            points = list(zip(ids, map(float, xs), map(float, ys)))
+            frames, done, last, books = _FrameColumns(book), 0, [], []
+            for n, (first, kind, time, sensor, a, b) in enumerate(zip(
+                    opens.tolist(), events["event_type"].to_pylist(), map(float, events["event_time_seconds"].to_pylist()),
+                    events["sensor_id"].to_pylist(), (stop - counts).tolist(), stop.tolist())):
+                if first:
+                    if n:
+                        last.append(n - 1)
+                        books.append(book)
+                    book = TrackBook(settings)
+                frames.add(first, book, *book.step(kind, time, sensor, points[a:b]))
+                if len(frames.shown) >= GIVE:
+                    yield frames.batch(events.slice(done, n + 1 - done), settings, arrow)
+                    frames, done = _FrameColumns(book), n + 1
+            if done < events.num_rows:
+                yield frames.batch(events.slice(done), settings, arrow)
+            if last:
+                yield tails(events.take(pa.array(last)), books)
+            before = events.slice(events.num_rows - 1)
+        if before is not None:
+            yield tails(before, [book])
 
     # A fixed number of tasks: merging them by size would leave a costly fold on few cores.
     tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = events.select(*_INPUT).repartition(tasks, *keys).sortWithinPartitions(*keys, "stream_sequence")
-    return ordered.groupBy(*keys).applyInArrow(fold, schema)
+    return ordered.mapInArrow(fold, schema)
 
 
 def fuse_tracks(events: DataFrame, settings: FusionSettings | None = None, *, split: bool = True,
@@ -92,7 +221,7 @@ def fuse_tracks(events: DataFrame, settings: FusionSettings | None = None, *, sp
     if not split:
         whole = _fold(events.withColumn("segment", F.lit(0).cast("bigint")), settings, ("run_id",))
         return _as_frames(whole.filter(F.col("left").isNull()), settings)
-    segments = segment_events(events, settings, block_rows)
+    segments = segment_events(events, settings, block_rows, max(1, block_rows // 16))
     placed = events.join(segments, ["run_id", "run_generation", "stream_sequence"])
     path = scratch_dir(events.sparkSession, "fusion")
     _fold(placed, settings, _SEGMENT).write.parquet(path)
@@ -106,8 +235,14 @@ def fuse_tracks(events: DataFrame, settings: FusionSettings | None = None, *, sp
     ).select(
         *_SEGMENT, (F.col("upto") - F.col("created")).alias("shift"), "left_before",
         (F.col("upto") - F.col("created") - F.col("created_before")).alias("shift_before"))
-    frames = folded.filter(F.col("left").isNull()).join(shifts, list(_SEGMENT))
-    moved = lambda array: F.transform(array, lambda r: r.withField("track_id", r["track_id"] + F.col("shift")))
+    # Most segments open their run and move nothing; the rest is stored, so that its size is known when it is joined.
+    moving = scratch_dir(events.sparkSession, "fusion-shifts")
+    shifts.filter((F.col("shift") > 0) | (F.size("left_before") > 0)).write.parquet(moving)
+    shifts = events.sparkSession.read.schema(shifts.schema).parquet(moving)
+    frames = folded.filter(F.col("left").isNull()).join(shifts, list(_SEGMENT), "left")
+    ahead = F.coalesce("shift", F.lit(0))
+    moved = lambda array: F.when(ahead == 0, array).otherwise(
+        F.transform(array, lambda r: r.withField("track_id", r["track_id"] + ahead)))
     reason = F.when(F.col("source_type") == "RUN_RESET", "run_reset").otherwise("timeout")
     expired = F.transform(
         F.coalesce("left_before", F.array()),
@@ -137,14 +272,14 @@ def fusion_config(frames: DataFrame) -> DataFrame:
 
 def track_samples(frames: DataFrame) -> DataFrame:
     """One row per track in the last frame (of any kind) at each acquisition time."""
-    last = frames.groupBy("run_id", "run_generation", "acquisition_time").agg(
+    columns = ("track_id", "state", "x", "y", "vx", "vy", "last_seen", "observations")
+    tracks = F.transform("tracks", lambda t: F.struct(*(t[c].alias(c) for c in columns), F.size(t["sensors"]).alias("sensor_count")))
+    last = frames.select("run_id", "run_generation", "acquisition_time", "source_sequence", tracks.alias("tracks")).groupBy(
+        "run_id", "run_generation", "acquisition_time").agg(
         F.max_by(F.struct("source_sequence", "tracks"), "source_sequence").alias("f"))
     return last.select(
         "run_id", "run_generation", F.col("f.source_sequence").alias("source_sequence"), "acquisition_time",
-        F.explode("f.tracks").alias("t")).select(
-        "run_id", "run_generation", "source_sequence", "acquisition_time",
-        *(f"t.{c}" for c in ("track_id", "state", "x", "y", "vx", "vy", "last_seen", "observations")),
-        F.size("t.sensors").alias("sensor_count"))
+        F.inline("f.tracks"))
 
 
 def associations(frames: DataFrame) -> DataFrame:

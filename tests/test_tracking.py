@@ -111,6 +111,24 @@ def test_split_equals_whole_over_many_quiet_gaps(spark):
     assert order(whole) == order(split)
 
 
+def test_short_segments_share_a_fold(spark, monkeypatch):
+    s, t = Script(9), 0.0
+    for n in range(240):
+        t += 2.5 if n % 6 == 0 else .25
+        s.scan(t, 1 + n % 2, [(n % 50, 0), (30 + n % 7, 90)])
+        if n in (90, 91):
+            s.reset_run()
+            t = 0.0
+    events = events_of(spark, s.finish(t + 5)).cache()
+    count = lambda *least: tracking.segment_events(
+        events, FusionSettings(), 16, *least).select("run_generation", "segment").distinct().count()
+    assert 3 < count(64) < 10 < 40 < count()
+    monkeypatch.setattr(tracking, "GIVE", 5)
+    order = lambda df: [r.asDict(True) for r in df.orderBy("source_sequence").collect()]
+    whole = order(tracking.fuse_tracks(events, split=False))
+    assert whole == order(tracking.fuse_tracks(events, block_rows=1024)) == order(tracking.fuse_tracks(events, block_rows=1 << 16))
+
+
 def test_samples_and_summary(spark, fuse):
     s = Script(sensors=(1, 2)).scan(0, 1, [(1, 1)]).scan(0, 2, [(1, 1)])
     frames, _ = fuse(s.finish(0))
