@@ -8,7 +8,7 @@ number of tracks created before.  The result equals the fold over the whole run.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from sonde.plans.ordered import BLOCK_ROWS, carry, row_blocks
 from sonde.session import scratch_dir
 
 TRAIL_POINTS = 32  # fixed value: length of a displayed trail
+SAMPLED = ("track_id", "state", "x", "y", "vx", "vy", "last_seen", "observations")
 GIVE = 100_000      # tracks of frames given out at once
 _INPUT = ("run_id", "run_generation", "segment", "stream_sequence", "event_time_seconds", "event_type", "sensor_id",
           "sensor_generation", "scan_sequence", "measurements")
@@ -270,16 +271,15 @@ def fusion_config(frames: DataFrame) -> DataFrame:
         "run_id", F.to_json(F.struct(*(F.col(f"config.{n}") for n in names))).alias("fusion_config"))
 
 
-def track_samples(frames: DataFrame) -> DataFrame:
-    """One row per track in the last frame (of any kind) at each acquisition time."""
-    columns = ("track_id", "state", "x", "y", "vx", "vy", "last_seen", "observations")
-    tracks = F.transform("tracks", lambda t: F.struct(*(t[c].alias(c) for c in columns), F.size(t["sensors"]).alias("sensor_count")))
+def track_samples(frames: DataFrame, columns: Sequence[str] = SAMPLED) -> DataFrame:
+    """One row per track in the last frame (of any kind) at each acquisition time, with `columns` of the track."""
+    tracks = F.arrays_zip(*(F.col(f"tracks.{c}") for c in (*columns, "sensors")))
     last = frames.select("run_id", "run_generation", "acquisition_time", "source_sequence", tracks.alias("tracks")).groupBy(
         "run_id", "run_generation", "acquisition_time").agg(
         F.max_by(F.struct("source_sequence", "tracks"), "source_sequence").alias("f"))
     return last.select(
         "run_id", "run_generation", F.col("f.source_sequence").alias("source_sequence"), "acquisition_time",
-        F.inline("f.tracks"))
+        F.inline("f.tracks")).withColumn("sensor_count", F.size("sensors")).drop("sensors")
 
 
 def associations(frames: DataFrame) -> DataFrame:

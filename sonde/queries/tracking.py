@@ -30,7 +30,7 @@ def fuse_tracks(spark, d):
 
 
 def fuse_and_summarize(spark, d):
-    return S.track_summary(L.track_samples(_fused(spark, d)))
+    return S.track_summary(L.track_samples(_fused(spark, d), ("track_id", "state", "last_seen", "observations")))
 
 
 def track_samples(spark, d):

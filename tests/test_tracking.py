@@ -135,6 +135,8 @@ def test_samples_and_summary(spark, fuse):
     samples = tracking.track_samples(frames)
     assert collected(samples.select("source_sequence", "observations", "sensor_count")) == [(6, 2, 2)]
     assert track_summary(samples).first()["samples"] == 1
+    narrow = tracking.track_samples(frames, ("track_id", "state", "last_seen", "observations"))     # positions are not shuffled
+    assert "x" not in narrow.columns and collected(track_summary(narrow)) == collected(track_summary(samples))
     assert tracking.associations(frames).count() == 2
 
 
