@@ -218,6 +218,17 @@ def test_buckets_close_on_the_runs_clock(spark, tmp_path):
     assert rows[0] == rows[1] and [r[-1] for r in rows[0]].count("late") == 1 and {r[3] for r in rows[0]} == {0, 1, 2}
 
 
+def test_open_buckets_share_state_entries(spark, tmp_path):
+    lines = longer().rstrip("\n").split("\n")
+    folder, checkpoint = str(tmp_path / "in"), str(tmp_path / "ck")
+    entries = lambda: spark.read.format("statestore").option("stateVarName", "buckets").load(checkpoint).count()
+    for n, part in enumerate((lines[:-1], lines[-1:])):      # all but the finish, then the finish
+        write(folder, f"p{n}.events", part, n)
+        run(live.start_table(live.stream_detections_over_time(events_stream(spark, folder), "arrival"), str(tmp_path / "out"), checkpoint))
+        rows = spark.read.parquet(str(tmp_path / "out")).count()
+        assert (rows, entries()) == (0, 1) if n == 0 else rows > 1 and entries() == 0
+
+
 def test_dedup_and_independent_consumers(spark, tmp_path):
     folder = str(tmp_path / "in")
     text = longer()
