@@ -171,3 +171,12 @@ def test_header_only_and_user_sql(spark):
     from sonde.operators.decode import decode_events
 
     assert decode_events(lines_of(spark, HEADER)).count() == 0
+
+
+def test_starts_are_made_in_many_tasks(spark):
+    """The customer file is one small split; its starts, seven for each, do not stand in one task."""
+    from sonde.sources import adapters
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    starts = adapters.started(spark, "/root/testdata/sf0.001")
+    assert starts.select(F.spark_partition_id()).distinct().count() == tasks > 1
