@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,9 +36,12 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")    # a task has one core; the library's threads only contend
         self.tokenizer, self.kinds = Tokenizer.from_file(path), tokenizers_kinds()
+        self.whole = Tokenizer.from_file(path)      # for pieces: they are not looked through for splits again
+        self.whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._forget()
 
     def _forget(self) -> None:
@@ -47,7 +51,7 @@ class Encoder:
 
     def _tokenize(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces on end, and how many each has."""
-        many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        many = getattr(self.whole, "encode_batch_fast", self.whole.encode_batch)
         found = [e.ids for i in range(0, len(names), 20_000) for e in many(names[i:i + 20_000], add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum())), size
@@ -121,6 +125,12 @@ def _narrow(symbols: np.ndarray, width: int) -> bytes:
     return symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
 
 
+def _slots(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One of 2^20 places for each pair of symbols."""
+    slot = (first * np.uint32(2654435761)) ^ (second * np.uint32(2246822519) + np.uint32(374761393))
+    return (((slot ^ (slot >> np.uint32(15))) * np.uint32(3266489917)) >> np.uint32(12)).astype(np.intp)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray) -> bytes:
     """A block: Re-Pair rules, their expansion lengths, the grammar's sequence, and where each document ends in it.
 
@@ -134,10 +144,10 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> bytes:
     base, left, right, levels = symbol, [], [], []
     while True:
         first, second = sequence[:-1], sequence[1:]
-        slot = (first * np.uint32(2654435761)) ^ (second * np.uint32(2246822519) + np.uint32(374761393))
-        slot = ((slot ^ (slot >> np.uint32(15))) * np.uint32(3266489917)) >> np.uint32(12)
-        at = np.flatnonzero(~last[:-1])
-        at = at[(np.bincount(slot[at], minlength=1 << 20) >= LEAST)[slot[at]]]   # a pair is no more frequent than its slot
+        slot = _slots(first, second)
+        crowded = np.bincount(slot, minlength=1 << 20) >= LEAST      # a pair is no more frequent than its slot
+        at = np.flatnonzero(crowded[slot] & ~last[:-1])
+        slot = slot[at]
         pair = (first[at].astype(np.uint64) << np.uint64(32)) | second[at]
         ranked = np.sort(pair)
         cut = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
@@ -148,9 +158,15 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> bytes:
         if len(often) > RULES:
             often = np.sort(often[np.lexsort((often, -count[often]))[:RULES]])
         rules = ranked[cut[often]]
-        which = np.minimum(np.searchsorted(rules, pair), len(rules) - 1)
-        ok = rules[which] == pair
-        at, which = at[ok], which[ok]
+        home, own = np.full(1 << 20, -1, np.int16), _slots((rules >> np.uint64(32)).astype(np.uint32), rules.astype(np.uint32))
+        home[own] = np.arange(len(rules))
+        which = home[slot]
+        for r in np.flatnonzero(home[own] != np.arange(len(rules))).tolist():   # another rule has its slot
+            which[pair == rules[r]] = r
+        found = np.flatnonzero(which >= 0)
+        which = which[found]
+        ok = rules[which] == pair[found]
+        at, which = at[found[ok]], which[ok].astype(np.int64)
         head = np.append(True, np.diff(at) > 1)
         run = np.arange(len(at)) - np.flatnonzero(head)[np.cumsum(head) - 1]
         at, which = at[run % 2 == 0], which[run % 2 == 0]

@@ -128,3 +128,16 @@ def test_fill_in_middle(spark, monkeypatch):
         assert order(map(tuple, op13.restored(op13.transform(frame(spark, rows))).collect())) == want
     assert op13.digest(op13.transform(frame(spark, rows).limit(0))).count() == 0
     assert {r[2] for r in want} == {"plain", "psm", "spm"}
+
+
+def test_op9_tokenizer_uses_no_threads_beside_its_task(monkeypatch):
+    import os
+
+    import public_tokenizers
+    from sonde.llm import op9
+
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    own = op9.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    text = "it's 1,024  pieces\n\n of café 中文 'll"      # pieces are not split again, and need not be
+    assert own.encode([text])[0].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
