@@ -46,8 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     id and text are kept once.
     """
     groups = op8.join(keyed(tune(spark) and docs))
-    linked = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("row"), "component_id").distinct(), "linked")
-    group = stored(linked.unionAll(linked.select(F.col("component_id").alias("row"), "component_id").distinct()), "grouped")
+    ends = F.array(F.struct(F.col("doc_id").alias("row"), "component_id"), F.struct(F.col("component_id").alias("row"), "component_id"))
+    group = stored(groups.where("doc_id <> component_id").select(F.inline(ends)).distinct(), "grouped")
     member = stored(attach(docs.select(ROW.alias("row"), "doc_id").distinct(), group, "row", "inner"), "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     kept = stored(member.groupBy("component_id").agg(first.alias("first")).select("component_id", F.col("first.row").alias("kept")), "kept")

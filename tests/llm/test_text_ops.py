@@ -9,6 +9,7 @@ from cases import SF, frame, jaccard_components, odd_rows
 from pyspark.sql import functions as F
 
 from sonde.llm import op1, op3, op5, op8, op10, queries
+from sonde.llm.common import components
 
 
 @pytest.fixture(scope="module")
@@ -117,6 +118,25 @@ def test_jaccard_join_of_an_id_with_two_texts(spark):
     assert {r.doc_id: r.component_id for r in op8.join(frame(spark, rows)).collect()} == root | {None: None}
 
 
+def test_components_of_stars_take_few_jobs(spark):
+    """Edges that already are stars need no round; those that are not settle on the smallest vertex."""
+    edges = lambda pairs: spark.createDataFrame(pairs, "a bigint, b bigint")
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("stars", "components of stars")
+    try:
+        got = components(edges([(i, i % 3) for i in range(60)]))
+        assert len(tracker.getJobIdsForGroup("stars")) <= 8
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.v: r.root for r in got.collect()} == {i: i % 3 for i in range(3, 60)}
+    line = list(range(40))
+    random.Random(3).shuffle(line)
+    loose = [(100, 101), (102, 101), (103, 103), (None, 104), (101, 100), (-5, 200), (200, 201)]
+    got = components(edges([*zip(line, line[1:]), *loose]))
+    assert {r.v: r.root for r in got.collect()} == {i: 0 for i in range(1, 40)} | {101: 100, 102: 100, 200: -5, 201: -5}
+    assert components(edges(loose[2:4])).count() == 0
+
+
 def test_jaccard_join_in_blocks(spark, monkeypatch):
     """Near copies on both sides of the threshold, in groups larger than SMALL, dealt over many blocks."""
     rng = random.Random(8)
