@@ -279,3 +279,29 @@ def test_many_runs_are_listed_by_few_tasks(spark, tmp_path):
         spark.sparkContext.setJobGroup("other", "")
     assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism < 40
     assert views["events"].select("run_id").distinct().count() == 40
+
+
+def test_many_runs_are_written_and_read_back_once(spark, tmp_path, monkeypatch):
+    """Files of runs are written by their tasks, with digests and checksums; verification opens each once, decoding reads lines once."""
+    import hashlib
+    import zlib
+
+    folder = str(tmp_path / "t")
+    df = spark.range(60).select((F.col("id") % 6).cast("decimal(20,0)").alias("run_id"), F.col("id").alias("stream_sequence"))
+    files = sinks.write_clean(df.withColumn("run_id", F.when(F.col("run_id") < 5, F.col("run_id"))), folder, "b:1").collect()
+    for f in files:
+        data = open(f"{folder}/{f.file}", "rb").read()
+        assert (hashlib.sha256(data).hexdigest(), len(data)) == (f.sha256, f.bytes)
+        sums = open(f"{folder}/{os.path.dirname(f.file)}/.{os.path.basename(f.file)}.crc", "rb").read()
+        assert sums == b"crc\0\0\0\2\0" + b"".join(zlib.crc32(data[i:i + 512]).to_bytes(4, "big") for i in range(0, len(data), 512))
+    sinks.write_clean(df.filter("run_id = 1"), folder, "b:1")      # appends
+    back = spark.read.schema("run_id decimal(20,0), stream_sequence bigint, batch string").parquet(folder)
+    counts = {None if r[0] is None else int(r[0]): r[1] for r in back.filter("batch = 'b:1'").groupBy("run_id").count().collect()}
+    assert counts == {0: 10, 1: 20, 2: 10, 3: 10, 4: 10, None: 10}
+
+    stored = ingest.read_once(spark, {"events": df.select("*", F.lit("MEASUREMENTS").alias("event_type"), F.lit(0).alias("measurement_count"), F.lit(1).alias("x"))})
+    assert stored["events"].count() == 60 and "x" not in stored["events"].columns
+    decoded = decode.decode_events(lines_of(spark, harbour(), "SENSOR_EVENTS 7\n").localCheckpoint())
+    assert decoded._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    wrong = decoded.filter("line_no = 1").collect()
+    assert [(r.error, r.event_type, r.run_id) for r in wrong] == [("unsupported recording header/version", None, None)]
