@@ -327,3 +327,18 @@ def test_events_that_wait_within_a_batch_touch_no_state():
             assert out["rule"].isna().all()
         assert len(states["waiting"]) == waiting
     assert taken == list(range(1, 101)) and states["waiting"].calls == 99 + 99      # each written once and removed once
+
+
+def test_a_recording_makes_no_file_for_each_run(spark, tmp_path):
+    """Twelve runs in one micro-batch are as many files as tasks have rows, each run whole and in order in one of them."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    texts = [Script(k, (1, 2)).scan(.5, 1, [(1, 2)]).finish(1).rstrip("\n").split("\n") for k in range(1, 13)]
+    write(folder, "a.events", [texts[0][0], *(line for group in zip(*texts) for line in group if line != texts[0][0])], 0)
+    run(live.stream_record(events_stream(spark, folder), out, str(tmp_path / "ck"), arrival="arrival"))
+    files = [f for _, _, names in os.walk(out) for f in names if f.endswith(".parquet")]
+    assert 0 < len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    back = spark.read.parquet(out)
+    assert dict(back.dtypes)["run_id"] == "decimal(20,0)"
+    whole = back.withColumn("file", F.input_file_name()).groupBy("run_id").agg(F.countDistinct("file").alias("files"), F.max("stream_sequence").alias("last"))
+    assert {(int(r.run_id), r.files, r.last) for r in whole.collect()} == {(k, 1, len(texts[0]) - 1) for k in range(1, 13)}
+    assert {(int(r[0]), r[1], r[2]) for r in live.recorded_runs(back).collect()} == {(k, len(texts[0]) - 1, True) for k in range(1, 13)}
